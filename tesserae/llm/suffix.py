@@ -118,6 +118,29 @@ def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(OUT.types)], schema=OUT)
 
 
+class Outgoing:
+    """Rows for document buckets, held over the buckets that a task reads and packed together when there are many."""
+
+    def __init__(self, kind: int, buckets: int) -> None:
+        self.kind, self.buckets, self.held, self.size = kind, buckets, [], 0
+
+    def add(self, cols: dict[str, np.ndarray], rows: np.ndarray) -> None:
+        if len(rows):
+            m = merged(*(cols[c][rows] for c in ROWS))
+            self.held.append(m)
+            self.size += len(m["pos"])
+
+    def full(self) -> bool:
+        return self.size > FLUSH
+
+    def flush(self) -> list[tuple[int, int, bytes]]:
+        if not self.size:
+            return []
+        m = {c: np.concatenate([x[c] for x in self.held]) for c in ROWS}
+        self.held, self.size = [], 0
+        return rows_of(self.kind, doc_bucket(m["doc"], m["th"], self.buckets), self.buckets, m)
+
+
 def cover(docs: DataFrame, buckets: int) -> DataFrame:
     """Stretches by k-gram bucket. Those that came before in the same task are settled there, as runs to remove."""
 
@@ -179,9 +202,13 @@ def compare(covered: DataFrame, buckets: int) -> DataFrame:
     is a request for its strings. Runs that are settled pass through."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, b, blobs in _by_kind(it):
+        runs, requests = Outgoing(RUN, buckets), Outgoing(REQUEST, buckets)
+        for kind, _, blobs in _by_kind(it):
+            if runs.full() or requests.full():
+                yield batch_of(runs.flush() + requests.flush())
             if kind == RUN:
-                yield batch_of([(RUN, b, x.to_pybytes()) for x in blobs])
+                c = _columns(blobs, ROWS)
+                runs.add(c, np.arange(len(c["pos"])))
                 continue
             c = _columns(blobs, SEGMENTS)
             ordered = np.sort(c["key"])
@@ -193,19 +220,12 @@ def compare(covered: DataFrame, buckets: int) -> DataFrame:
             keep = twice[at] == c["key"]
             c = {k: v[keep] for k, v in c.items()}
             o, first = settle(c["seg"] ^ (c["key"] * U(3)), c)
-            gone, one = o[~first], o[first]
+            one = o[first]
+            runs.add(c, o[~first])
             by_key = np.sort(c["key"][one])
             many = np.unique(by_key[1:][by_key[1:] == by_key[:-1]])
-            out = []
-            if len(gone):
-                m = merged(*(c[k][gone] for k in ROWS))
-                out += rows_of(RUN, doc_bucket(m["doc"], m["th"], buckets), buckets, m)
-            if len(many):
-                ask = one[np.isin(c["key"][one], many)]
-                m = merged(*(c[k][ask] for k in ROWS))
-                out += rows_of(REQUEST, doc_bucket(m["doc"], m["th"], buckets), buckets, m)
-            if out:
-                yield batch_of(out)
+            requests.add(c, one[np.isin(c["key"][one], many)])
+        yield batch_of(runs.flush() + requests.flush())
 
     return table(_dealt(covered).mapInArrow(run, DDL), "stretches")
 
@@ -284,16 +304,17 @@ def strings(docs: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, b, blobs in _by_kind(it):
+        runs = Outgoing(RUN, buckets)
+        for kind, _, blobs in _by_kind(it):
+            c = _columns(blobs, ROWS if kind == RUN else STRINGS)
             if kind == RUN:
-                yield batch_of([(RUN, b, x.to_pybytes()) for x in blobs])
-                continue
-            c = _columns(blobs, STRINGS)
-            o, first = settle(c["h"], c)
-            gone = o[~first]
-            if len(gone):
-                m = merged(*(c[k][gone] for k in ROWS))
-                yield batch_of(rows_of(RUN, doc_bucket(m["doc"], m["th"], buckets), buckets, m))
+                runs.add(c, np.arange(len(c["pos"])))
+            else:
+                o, first = settle(c["h"], c)
+                runs.add(c, o[~first])
+            if runs.full():
+                yield batch_of(runs.flush())
+        yield batch_of(runs.flush())
 
     asked = _with_text(docs, requests).mapInArrow(run, DDL)
     return table(_dealt(asked).mapInArrow(meet, DDL), "strings")
@@ -318,7 +339,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     document. Null or short text: nothing is removed. Texts of any length go piece by piece.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark) * 4
+    buckets = partitions(spark) * 2
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
