@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tesserae.llm.shared import table
 
 ROUNDS = 60
+FEW = 200_000  # links that one task resolves by itself (under 50 MB); beyond, rounds of stars do it in parallel
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """Each partition's links as stars: as many as it has ids, whatever the number of links. A task holds 2^17 links at a time."""
+def forest(edges: DataFrame, held_links: int = 1 << 17) -> DataFrame:
+    """Each partition's links as stars: as many as it has ids, whatever the number of links, of which so many are held."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -37,7 +38,7 @@ def forest(edges: DataFrame) -> DataFrame:
         held: list[tuple[int, int]] = []
         for batch in it:
             held += zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-            if len(held) >= 1 << 17:
+            if len(held) >= held_links:
                 yield flush(held)
                 held = []
         yield flush(held)
@@ -52,6 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
     cuts the lineage after each. Only a count and a checksum of the links come to the driver.
     """
     now, seen = table(forest(edges).distinct(), "stars"), None
+    if now.limit(FEW + 1).count() <= FEW:
+        one = table(forest(now.coalesce(1), FEW + 1), "stars")
+        return one.select(F.col("a").alias("node"), F.col("b").alias("label")).union(one.select("b", "b").distinct())
     for _ in range(ROUNDS):
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -3,7 +3,7 @@ sorted arrays are intersected exactly."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +116,8 @@ def commonness(measured: DataFrame) -> np.ndarray:
 def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """Sets that share a prefix token: g, node, n, weight, and the next smaller member (prev, prev_n) if its size fits.
 
-    Postings go to token buckets as packed arrays, equal sets once from each task. Groups of the same members are one,
-    with the number of their tokens as weight; tokens that only one set has vanish here."""
+    Postings go to token buckets as packed arrays, equal sets once from each task. g is a hash of the members:
+    groups of the same members are one, with the number of their tokens as weight. Tokens of only one set vanish."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     sent = spark.sparkContext.broadcast(common)
@@ -176,7 +176,7 @@ def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
             pick[one] = True
             pick &= size > 1
             member = np.repeat(pick, size)
-            g, w = np.repeat(t[first].view(np.int64), size), np.repeat(weight[of.reshape(-1)], size)
+            g, w = np.repeat(mix(who + size.astype(np.uint64)).view(np.int64), size), np.repeat(weight[of.reshape(-1)], size)
             prev, prev_n = np.roll(node, 1), np.roll(n, 1)
             heads = np.zeros(len(t), bool)
             heads[first] = True
@@ -189,7 +189,8 @@ def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     posted = docs.select("text").mapInArrow(post, "bucket int, blob binary")
     met = to_buckets(posted, buckets).mapInArrow(meet, "g bigint, node bigint, n bigint, weight bigint, prev bigint, prev_n bigint")
-    return table(met, "groups")
+    one = met.groupBy("g", "node").agg(F.first("n").alias("n"), F.sum("weight").alias("weight"), F.first("prev").alias("prev"), F.first("prev_n").alias("prev_n"))
+    return table(one, "groups")
 
 
 def limited(df: DataFrame) -> DataFrame:
@@ -197,21 +198,22 @@ def limited(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def sets(docs: DataFrame, small: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, tokens (sorted, packed) and bits of the wanted nodes, one row each, from the text of one document each."""
-    ids = table(small.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
+def sets(docs: DataFrame, small: DataFrame, nodes: DataFrame, tokens: bool) -> DataFrame:
+    """node, n and bits (or the sorted, packed tokens) of the wanted nodes, one row each, from one document's text."""
+    ids = table(small.join(limited(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = rows.join(limited(ids).withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    what = "tokens" if tokens else "bits"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [(set_id(s), len(s), s.tobytes(), bitmap(s).tobytes()) for _, s in documents_of(batch) if len(s)]
+            found = [(set_id(s), len(s), (s if tokens else bitmap(s)).tobytes()) for _, s in documents_of(batch) if len(s)]
             for a in range(0, len(found), 256):
                 part = found[a : a + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "tokens", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", what])
 
-    made = rows.mapInArrow(run, "node bigint, n bigint, tokens binary, bits binary")
-    return table(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    made = rows.mapInArrow(run, f"node bigint, n bigint, {what} binary")
+    return table(made.join(limited(nodes), "node", "left_semi").dropDuplicates(["node"]), what)
 
 
 def width(n: int) -> int:
@@ -239,22 +241,46 @@ def linked(shared: np.ndarray | int, both: np.ndarray | int) -> np.ndarray | boo
     return (NUM + DEN) * shared >= NUM * both
 
 
-def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, by intersecting their sorted arrays."""
+def _pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _filtered(pairs: DataFrame, known: DataFrame, what: str, test: Callable) -> DataFrame:
+    """Pairs (a, b) for which test(n, column of a, n, column of b) holds."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
-            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(t, s)
-                at[at == len(t)] = 0
-                if linked(int((t[at] == s).sum()), len(s) + len(t)):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            a, b, m, n = (batch.column(c).to_pylist() for c in ("a", "b", "m", "n"))
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y"))
+            yield _pairs_of([(a[i], b[i]) for i in range(len(a)) if test(m[i], x[i], n[i], y[i])])
+
+    left = known.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col(what).alias("x"))
+    right = known.select(F.col("node").alias("b"), "n", F.col(what).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "m", "x", "b", "n", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs that their bitmaps don't rule out."""
 
-    left, right = known.select(F.col("node").alias("a"), F.col("tokens").alias("x")), known.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    def test(m: int, x: np.ndarray, n: int, y: np.ndarray) -> bool:
+        words = min(len(x), len(y))
+        x, y = folded(x, words), folded(y, words)
+        both = int(np.bitwise_count(x & y).sum())
+        return linked(min(m - int(np.bitwise_count(x).sum()) + both, n - int(np.bitwise_count(y).sum()) + both), m + n)
+
+    return _filtered(pairs, bits, "bits", test)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, small: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, by intersecting the sorted arrays of the sets that are in a pair."""
+
+    def test(m: int, x: np.ndarray, n: int, y: np.ndarray) -> bool:
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        return linked(int((y[at] == x).sum()), m + n)
+
+    nodes = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    return _filtered(pairs, sets(docs, small, nodes, True), "tokens", test)
 
 
 def band(n: Column) -> Column:
@@ -298,19 +324,16 @@ def tile_pairs(open_members: DataFrame, known: DataFrame) -> DataFrame:
                     out.append((min(node[x], node[z]), max(node[x], node[z])))
             return out
 
-        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
         now, members = None, []
         for batch in it:
             for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
                 if row[:4] != now:
                     if len(members) > 1:
-                        yield batch_of(pairs(members, now))
+                        yield _pairs_of(pairs(members, now))
                     now, members = row[:4], []
                 members.append(row[4:])
         if len(members) > 1:
-            yield batch_of(pairs(members, now))
+            yield _pairs_of(pairs(members, now))
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -320,16 +343,18 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     measured = measure(docs)
     small = measured.where("kind = 0").select("doc_id", "n", "node")
     met = groups(docs, commonness(measured))
-    known = sets(docs, small, table(met.select("node").distinct(), "nodes"))
+    bits = sets(docs, small, table(met.select("node").distinct(), "nodes"), False)
     # One likely link a set merges most copies, so that groups of copies are not compared pair by pair.
     best = met.where("prev is not null").groupBy("node", "prev").agg(F.sum("weight").alias("w"))
     best = best.groupBy("node").agg(F.max_by("prev", F.struct("w", "prev")).alias("prev"))
-    likely = table(verify(best.select(F.col("prev").alias("a"), F.col("node").alias("b")), known), "likely")
-    first = components(likely)
+    first = table(plausible(best.select(F.col("prev").alias("a"), F.col("node").alias("b")), bits), "first")
+    likely = table(verify(first, docs, small), "likely")
     # All other pairs of a group are then compared, unless they are together already.
-    members = table(met.select("g", "node", "n").join(first, "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("label")), "members")
+    members = met.select("g", "node", "n").join(components(likely), "node", "left")
+    members = table(members.select("g", "node", "n", F.coalesce("label", "node").alias("label")), "members")
     spread = members.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
-    late = table(verify(table(tile_pairs(members.join(table(spread, "open"), "g", "left_semi"), known), "pairs"), known), "late")
+    rest = table(tile_pairs(members.join(table(spread, "open"), "g", "left_semi"), bits), "pairs")
+    late = table(verify(rest, docs, small), "late")
     return small, components(likely.union(late))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from tesserae.llm import bpe, imatch, jaccard, language, matroska, mixing, secrets, sharding, suffix, warc
+from tesserae.llm import bpe, graph, imatch, jaccard, language, matroska, mixing, secrets, sharding, suffix, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, n int"
@@ -343,6 +343,7 @@ def test_jaccard_components(docs):
 def test_jaccard_borderline_chains(spark, monkeypatch):
     """Sets just at, above and below the limit, in chains, with small tiles."""
     monkeypatch.setattr(jaccard, "TILE", 3)
+    monkeypatch.setattr(graph, "FEW", 5)
     r, rows = random.Random(11), []
     for g in range(6):
         words = [f"g{g}w{i}" for i in range(34)]
