@@ -19,7 +19,7 @@ _REGISTRY: dict[str, Transform] = {}
 #: Semi-major axis and flattening of the ellipsoids.
 WGS84, GRS80, BESSEL = (6378137.0, 1 / 298.257223563), (6378137.0, 1 / 298.257222101), (6377397.155, 1 / 299.1528128)
 #: DHDN to WGS84; metres, arc seconds, parts per million (position vector).
-DHDN = (598.1, 73.7, 418.2, 0.202, 0.045, -2.455, 6.7)
+DHDN = (612.4, 77.0, 440.2, -0.054, 0.057, -2.797, 2.55)
 
 
 def inverse_mercator(x: float, y: float, ell: tuple, lon0: float, k0: float, fe: float) -> Point:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +53,6 @@ def query_terms(box: tuple, **limits: int) -> list[str]:
 
 def cells_column(min_x: str = "min_x", min_y: str = "min_y", max_x: str = "max_x", max_y: str = "max_y") -> Column:
     """index_terms as a column, for the optional spatial index; NULL without a box."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def f(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([None if x[0] != x[0] else index_terms(x) for x in zip(a, b, c, d, strict=True)])

@@ -32,7 +32,7 @@ def index_columns(fields: list[str]) -> dict[str, Column]:
     """Least and greatest value by field, over attributes and properties, for row-group pruning."""
     out = {}
     for key in fields:
-        found = F.filter(F.concat("attrs", "props"), lambda e, key=key: e["key"] == key)
+        found = _of_key(key)
         numbers = F.transform(found, lambda e: F.coalesce(e["d"], e["l"].cast("double")))
         strings = F.transform(found, lambda e: e["s"])
         for part, c in (("min", F.array_min(numbers)), ("max", F.array_max(numbers)), ("smin", F.array_min(strings)), ("smax", F.array_max(strings))):
@@ -40,6 +40,10 @@ def index_columns(fields: list[str]) -> dict[str, Column]:
     return out
 
 
+def _of_key(key: str) -> Column:
+    return F.filter(F.concat("attrs", "props"), lambda e: e["key"] == key)
+
+
 def holds(e: Column, op: str, v: object, strict: bool) -> Column:
     """op between a tagged element and a literal. Strict: of the literal's own type; else numbers compare across types."""
     f = OPS[op]
