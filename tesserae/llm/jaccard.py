@@ -19,6 +19,7 @@ SKETCH_BITS, RANGES = 21, 32
 FLUSH = 1 << 20
 SMALL = 1_000_000  # ids up to which a set of them is broadcast (8 MB); beyond, it is joined by shuffle
 TILE = 2048  # members of a candidate group in one tile
+MERGING = 2  # rounds in which each set is compared with its likeliest partners alone
 _SEED = U(0x9FB21C651E98DF25)
 
 
@@ -288,8 +289,9 @@ def band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
 
 
-def tile_pairs(open_members: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of members of one group with different labels whose bitmaps don't rule out a link.
+def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFrame:
+    """Pairs of members of one group with different labels whose bitmaps don't rule out a link; `best`: for each member
+    only the likeliest.
 
     A tile is a group, a size band with the one above, and a pair of its blocks of about TILE members: groups of any
     size are many tiles, and no pairs are written but those that pass the bound."""
@@ -308,7 +310,9 @@ def tile_pairs(open_members: DataFrame, known: DataFrame) -> DataFrame:
             bits = np.stack([folded(np.frombuffer(m[5], np.uint64), words) for m in members])
             n, label, up, mine = (np.array([m[c] for m in members], np.int64) for c in (1, 2, 3, 4))
             node, up = [m[0] for m in members], up == k[1] + 1
-            out = []
+            ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            top, partner = np.zeros(len(members)), np.full(len(members), -1)
+            out = set()
             for x in range(len(members) - 1):
                 y = np.arange(x + 1, len(members))
                 ok = (label[y] != label[x]) & ~(up[y] & up[x]) & (np.minimum(n[y], n[x]) * DEN >= np.maximum(n[y], n[x]) * NUM)
@@ -318,11 +322,19 @@ def tile_pairs(open_members: DataFrame, known: DataFrame) -> DataFrame:
                 if not len(y):
                     continue
                 both = np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
-                here, there = int(np.bitwise_count(bits[x]).sum()), np.bitwise_count(bits[y]).sum(axis=1, dtype=np.int64)
-                bound = np.minimum(n[x] - (here - both), n[y] - (there - both))
-                for z in y[linked(bound, n[x] + n[y])]:
-                    out.append((min(node[x], node[z]), max(node[x], node[z])))
-            return out
+                bound = np.minimum(n[x] - (ones[x] - both), n[y] - (ones[y] - both))
+                fit = linked(bound, n[x] + n[y])
+                y, score = y[fit], bound[fit] / (n[x] + n[y[fit]])
+                if best and len(y):
+                    more = y[score > top[y]]
+                    top[more], partner[more] = score[score > top[y]], x
+                    if score.max() > top[x]:
+                        top[x], partner[x] = score.max(), y[score.argmax()]
+                elif not best:
+                    out.update((min(node[x], node[z]), max(node[x], node[z])) for z in y)
+            if best:
+                out.update((min(node[x], node[z]), max(node[x], node[z])) for x, z in enumerate(partner) if z >= 0)
+            return sorted(out)
 
         now, members = None, []
         for batch in it:
@@ -348,14 +360,18 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = met.where("prev is not null").groupBy("node", "prev").agg(F.sum("weight").alias("w"))
     best = best.groupBy("node").agg(F.max_by("prev", F.struct("w", "prev")).alias("prev"))
     first = table(plausible(best.select(F.col("prev").alias("a"), F.col("node").alias("b")), bits), "first")
-    likely = table(verify(first, docs, small), "likely")
-    # All other pairs of a group are then compared, unless they are together already.
-    members = met.select("g", "node", "n").join(components(likely), "node", "left")
-    members = table(members.select("g", "node", "n", F.coalesce("label", "node").alias("label")), "members")
-    spread = members.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
-    rest = table(tile_pairs(members.join(table(spread, "open"), "g", "left_semi"), bits), "pairs")
-    late = table(verify(rest, docs, small), "late")
-    return small, components(likely.union(late))
+    links = table(verify(first, docs, small), "links")
+    labels = components(links)
+    # Other members of a group are compared unless they are together already: in MERGING rounds each set with the
+    # likeliest in each of its groups; in the last round, all pairs that are left.
+    for k in range(MERGING + 1):
+        members = met.select("g", "node", "n").join(labels, "node", "left")
+        members = table(members.select("g", "node", "n", F.coalesce("label", "node").alias("label")), "members")
+        spread = members.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
+        rest = table(tile_pairs(members.join(table(spread, "open"), "g", "left_semi"), bits, k < MERGING), "pairs")
+        links = table(links.union(verify(rest, docs, small)), "links")
+        labels = components(links)
+    return small, labels
 
 
 def component_table(docs: DataFrame) -> DataFrame:
