@@ -19,6 +19,7 @@ SKETCH_BITS, RANGES = 21, 32
 FLUSH = 1 << 20
 SMALL = 1_000_000  # ids up to which a set of them is broadcast (8 MB); beyond, it is joined by shuffle
 TILE = 2048  # members of a candidate group in one tile
+GROUPS_KNOWN = 32  # groups of a set, the first by id, that its other groups know, to leave shared pairs to them
 MERGING = 2  # rounds in which each set is compared with its likeliest partners alone
 _SEED = U(0x9FB21C651E98DF25)
 
@@ -294,15 +295,19 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
     only the likeliest.
 
     A tile is a group, a size band with the one above, and a pair of its blocks of about TILE members: groups of any
-    size are many tiles, and no pairs are written but those that pass the bound."""
+    size are many tiles, and no pairs are written but those that pass the bound. Sets often meet in several groups. Each
+    member carries the least ids of its groups, GROUPS_KNOWN at most; a pair is left to a lesser group that both carry.
+    The least group that a pair meets in never leaves it, so no pair is lost, however many groups its sets have."""
     rows = open_members.withColumn("band", band(F.col("n"))).withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     counts = rows.groupBy("g", "tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1 and l0 <> l1")
     counts = table(counts.select("g", "tile", "blocks"), "tiles")
     rows = rows.join(counts, ["g", "tile"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    rows = rows.join(known.select("node", "bits"), "node")
+    lists = open_members.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("g")), 1, GROUPS_KNOWN).alias("groups"))
+    rows = rows.join(known.select("node", "bits"), "node").join(lists, "node")
+    rows = rows.withColumn("before", F.filter("groups", lambda h: h < F.col("g")))
     key = ["g", "tile", "i", "j"]
-    rows = rows.select(*key, "node", "n", "label", "band", "mine", "bits").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
+    rows = rows.select(*key, "node", "n", "label", "band", "mine", "bits", "before").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(members: list[tuple], k: tuple) -> list[tuple[int, int]]:
@@ -311,6 +316,9 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
             n, label, up, mine = (np.array([m[c] for m in members], np.int64) for c in (1, 2, 3, 4))
             node, up = [m[0] for m in members], up == k[1] + 1
             ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            before = np.full((len(members), max(len(m[6]) for m in members)), k[0])  # no list has the group itself
+            for x, m in enumerate(members):
+                before[x, : len(m[6])] = m[6]
             top, partner = np.zeros(len(members)), np.full(len(members), -1)
             out = set()
             for x in range(len(members) - 1):
@@ -325,6 +333,11 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
                 bound = np.minimum(n[x] - (ones[x] - both), n[y] - (ones[y] - both))
                 fit = linked(bound, n[x] + n[y])
                 y, score = y[fit], bound[fit] / (n[x] + n[y[fit]])
+                if len(y) and (own := members[x][6]):
+                    at = np.searchsorted(own, before[y])
+                    at[at == len(own)] = 0
+                    here = ~(np.array(own)[at] == before[y]).any(axis=1)
+                    y, score = y[here], score[here]
                 if best and len(y):
                     more = y[score > top[y]]
                     top[more], partner[more] = score[score > top[y]], x

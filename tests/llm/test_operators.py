@@ -340,9 +340,11 @@ def test_jaccard_components(docs):
     assert Counter(map(tuple, jaccard.component_table(docs).collect())) == plain_components(plain(docs))
 
 
-def test_jaccard_borderline_chains(spark, monkeypatch):
-    """Sets just at, above and below the limit, in chains, with small tiles."""
+@pytest.mark.parametrize("groups_known", [1, 32])
+def test_jaccard_borderline_chains(spark, monkeypatch, groups_known):
+    """Sets just at, above and below the limit, in chains, with small tiles and few or many known groups."""
     monkeypatch.setattr(jaccard, "TILE", 3)
+    monkeypatch.setattr(jaccard, "GROUPS_KNOWN", groups_known)
     monkeypatch.setattr(graph, "FEW", 5)
     r, rows = random.Random(11), []
     for g in range(6):
@@ -360,6 +362,18 @@ def test_jaccard_borderline_chains(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.component_table(df).collect())) == plain_components(df.collect())
 
 
+def test_jaccard_pairs_are_left_to_one_group(spark):
+    """Every pair of likely partners comes from some group, and only once if all groups are known."""
+    r, groups = random.Random(2), {}
+    for g in range(12):
+        groups[g - 6] = sorted(r.sample(range(20), 9))
+    members = spark.createDataFrame([(g, x, 40, x) for g, m in groups.items() for x in m], "g bigint, node bigint, n bigint, label bigint")
+    bits = spark.createDataFrame([(x, 40, jaccard.bitmap(np.arange(40, dtype=np.uint64) * np.uint64(7919)).tobytes()) for x in range(20)], "node bigint, n bigint, bits binary")
+    want = {(a, b) for m in groups.values() for a in m for b in m if a < b}
+    got = [tuple(p) for p in jaccard.tile_pairs(members, bits, False).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_jaccard_keeps_one_of_each_group(odd):
     rows = [r for r in plain(odd)]
     kept = jaccard.keep_one(odd).collect()
