@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import BLOBS, U, blob_batch, by_bucket, gathered, mix, pack, partitions, slices, text_bytes, to_buckets, unpack, word_hashes
+from tesserae.llm.shared import BLOBS, U, blob_batch, by_bucket, gathered, limited, mix, pack, partitions, slices, table, text_bytes, to_buckets, unpack, word_hashes
 
 SUBSETS = 64
 LEVELS = 8  # of subset sizes: a term is in a subset of level k with chance 2^-(k + 4)
 LOW, HIGH = 0.001, 0.2  # share of documents a term of the lexicon is in
+THIN, FEW = 0.25, 16  # a row with less than this share of lexicon terms, or fewer, falls back, the more so the less
 FLUSH = 1 << 21
 
 
@@ -26,51 +27,68 @@ def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """Hashes of the terms in between `low` and `high` of all documents, counted over all of them; sorted.
+    """Hashes of the terms in between `low` and `high` of all distinct texts, counted over all of them; sorted.
 
     Its size is bounded, whatever the corpus: a document has T distinct terms on average, so at most T / low terms can
     be in a share `low` of the documents (under half a million for T = 480, 4 MB). Counts are summed in each task first.
+    Each of c copies of a text counts for 1 / c. Texts that occur once are counted in whole numbers, apart from others.
     """
     spark = docs.sparkSession
     buckets = partitions(spark) * 2
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        once: list[np.ndarray] = []
+        often: list[tuple] = []  # terms and weights
         for batch in it:
             buf, off = text_bytes(batch.column(0))
+            copies = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in slices(off):
-                held.append(terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])[0])
-                if sum(map(len, held)) > FLUSH:
-                    yield flush(held)
-                    held = []
-        if held:
-            yield flush(held)
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        t, c = np.unique(np.concatenate(held), return_counts=True)
-        return blob_batch(list(by_bucket((mix(t) % U(buckets)).astype(np.int64), buckets, t=t, c=c.astype(np.int32))))
+                t, at = terms(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                of = np.repeat(copies[i:j], np.diff(at))
+                once.append(t[of == 1])
+                often = summed([*often, (t[of > 1], 1 / of[of > 1])])
+                if sum(map(len, once)) > FLUSH:
+                    yield flush(*np.unique(np.concatenate(once), return_counts=True), np.int32)
+                    once = []
+                if len(often[0][0]) > FLUSH:
+                    yield flush(*often[0], np.float64)
+                    often = []
+        if once:
+            yield flush(*np.unique(np.concatenate(once), return_counts=True), np.int32)
+        if often:
+            yield flush(*often[0], np.float64)
+
+    def summed(parts: list[tuple]) -> list[tuple]:
+        t, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        return [(t, np.bincount(at, np.concatenate([x[1] for x in parts]), len(t)))]
+
+    def flush(t: np.ndarray, c: np.ndarray, kind: type) -> pa.RecordBatch:
+        return blob_batch([(b, np.int64(kind is np.int32).tobytes() + x) for b, x in by_bucket((mix(t) % U(buckets)).astype(np.int64), buckets, t=t, c=c.astype(kind))])
 
     def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs in gathered(it):
-            found = [unpack(x, t=np.uint64, c=np.int32) for x in blobs]
+            found = [unpack(memoryview(x)[8:], t=np.uint64, c=np.int32 if np.frombuffer(x, np.int64, 1)[0] else np.float64) for x in blobs]
             t, at = np.unique(np.concatenate([x["t"] for x in found]), return_inverse=True)
-            df = np.bincount(at, np.concatenate([x["c"] for x in found]), len(t))
+            df = np.rint(np.bincount(at, np.concatenate([x["c"] for x in found]), len(t)))
             ok = (df >= least) & (df <= most)
             if ok.any():
                 yield blob_batch([(b, pack(t=t[ok]))])
 
-    n = docs.count()
+    same = F.xxhash64(F.coalesce("text", F.lit(""))).alias("same")
+    copies = table(docs.select(same).groupBy("same").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    n = copies.count()
     least, most = max(low * n, 1), max(high * n, 1)
-    counted = to_buckets(docs.select("text").mapInArrow(count, "bucket int, blob binary"), partitions(spark)).mapInArrow(total, "bucket int, blob binary")
+    weighed = docs.select("text", same).join(limited(copies.where("copies > 1")), "same", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counted = to_buckets(weighed.mapInArrow(count, "bucket int, blob binary"), partitions(spark)).mapInArrow(total, "bucket int, blob binary")
     found = [unpack(r["blob"], t=np.uint64)["t"] for r in counted.toLocalIterator()]
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def subsets(t: np.ndarray) -> np.ndarray:
-    """Bit s of the result: the term is in subset s."""
+def subsets(t: np.ndarray, first: int = 4) -> np.ndarray:
+    """Bit s of the result: the term is in subset s; of level k with chance 2^-(k + first)."""
     out = np.zeros(len(t), np.uint64)
     for s in range(SUBSETS):
-        rate = 4 + s * LEVELS // SUBSETS
+        rate = first + s * LEVELS // SUBSETS
         out |= (mix(t + U((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(64 - rate) == 0).astype(np.uint64) << U(s)
     return out
 
@@ -78,7 +96,9 @@ def subsets(t: np.ndarray) -> np.ndarray:
 def fingerprints(buf: np.ndarray, offsets: np.ndarray, lex: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """SUBSETS 32-bit hashes for each row; 0 for a subset of which the row has no term.
 
-    A row without a term of the lexicon falls back on all its terms, so that equal texts, and only such, are alike.
+    A row with few terms of the lexicon, or none, falls back on denser subsets of all its terms, with the same bits. How
+    few is another number in each subset, so that near copies on both sides of one differ in few hashes. Only a row that
+    has a term in no subset is hashed by all its terms in each.
     """
     t, off = terms(buf, offsets)
     n = len(off) - 1
@@ -87,6 +107,13 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, lex: np.ndarray, masks: n
     ok = (lex[at] == t) if len(lex) else np.zeros(len(t), bool)
     row = np.repeat(np.arange(n), np.diff(off))
     mask = np.where(ok, masks[at], U(0)) if len(lex) else np.zeros(len(t), np.uint64)
+    enough = np.maximum(np.diff(off) * THIN, FEW) / SUBSETS
+    known = np.bincount(row[ok], minlength=n)
+    thin = np.zeros(n, np.uint64)
+    for s in range(SUBSETS):
+        thin |= (known < enough * (1 + s * 37 % SUBSETS)).astype(np.uint64) << U(s)
+    dense = np.flatnonzero(thin[row])
+    mask[dense] = (mask[dense] & ~thin[row[dense]]) | (subsets(t[dense], 1) & thin[row[dense]])
     bare = np.bincount(row[mask != 0], minlength=n) == 0 if len(t) else np.ones(n, bool)
     mask = np.where(bare[row], U(0xFFFFFFFFFFFFFFFF), mask)
     out = np.zeros((n, SUBSETS), np.uint32)

@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.graph import components
-from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, mix, pack, partitions, slices, table, text_bytes, to_buckets, unpack, word_hashes
+from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, limited, mix, pack, partitions, slices, table, text_bytes, to_buckets, unpack, word_hashes
 
 WORDS = 5
 NUM, DEN = 75, 100  # the least likeness
 SKETCH_BITS, RANGES = 21, 32
 FLUSH = 1 << 20
-SMALL = 1_000_000  # ids up to which a set of them is broadcast (8 MB); beyond, it is joined by shuffle
 TILE = 2048  # members of a candidate group in one tile
 GROUPS_KNOWN = 32  # groups of a set, the first by id, that its other groups know, to leave shared pairs to them
 MERGING = 2  # rounds in which each set is compared with its likeliest partners alone
@@ -195,11 +194,6 @@ def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return table(one, "groups")
 
 
-def limited(df: DataFrame) -> DataFrame:
-    """A table of ids, broadcast if it has been counted and is small; else joined by shuffle, which AQE can split."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def sets(docs: DataFrame, small: DataFrame, nodes: DataFrame, tokens: bool) -> DataFrame:
     """node, n and bits (or the sorted, packed tokens) of the wanted nodes, one row each, from one document's text."""
     ids = table(small.join(limited(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")

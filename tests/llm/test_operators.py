@@ -458,3 +458,29 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     for _, f in p.STAGES[:-1]:
         docs = f(spark, docs, str(tmp_path))
         assert docs.columns == real.columns
+
+
+def test_imatch_near_copies_in_a_hot_group(spark):
+    """Near copies that hold a third of the rows and exact ones that hold another third are as alike as elsewhere."""
+    r = random.Random(4)
+    prose = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    base, exact, rows = prose(150), " ".join(f"x{i}" for i in range(100)), []
+    for i in range(100):
+        w = list(base)
+        w[r.randrange(150)] = f"edit{r.randrange(40)}"
+        rows += [(i, " ".join(w)), (100 + i, exact), (200 + i, " ".join(prose(120)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    lex = imatch.lexicon(df)
+    own, _ = imatch.terms(*imatch._strings([exact]))
+    assert np.isin(own, lex).all()
+    got = {g.doc_id: g.near_next for g in imatch.fingerprint_table(df).collect()}
+    assert np.mean([got[i] for i in range(99)]) > 0.5
+    assert np.mean([got[i] for i in range(200, 299)]) < 0.2
+
+
+def test_imatch_short_texts_without_a_lexicon():
+    none = np.zeros(0, np.uint64)
+    words = [f"t{i}" for i in range(30)]
+    fp = imatch.fingerprints(*imatch._strings([" ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"u{i}" for i in range(30)), "one", "two", ""]), none, none)
+    assert imatch.likeness(fp[:1], fp[1:2])[0] > 0.4 > imatch.likeness(fp[:1], fp[2:3])[0]
+    assert fp[3].any() and fp[4].any() and imatch.likeness(fp[3:4], fp[4:5])[0] == 0
