@@ -18,6 +18,8 @@ NUM, DEN = 75, 100  # the least likeness
 SKETCH_BITS, RANGES = 21, 32
 FLUSH = 1 << 20
 TILE = 2048  # members of a candidate group in one tile
+TILE_TOKENS = 1 << 21  # and, where links are counted, their tokens (16 MB)
+COLUMNS = 1024  # tokens of a tile that are compared at once
 GROUPS_KNOWN = 32  # groups of a set, the first by id, that its other groups know, to leave shared pairs to them
 MERGING = 2  # rounds in which each set is compared with its likeliest partners alone
 _SEED = U(0x9FB21C651E98DF25)
@@ -381,21 +383,97 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, labels
 
 
+def counted_links(docs: DataFrame, small: DataFrame, labels: DataFrame) -> DataFrame:
+    """node and links: in how many rows a linked set occurs that is another one. No pairs are written.
+
+    All links are inside components, so every pair of a component's sets is compared exactly, but those whose sizes rule
+    a link out. Tiles are as in tile_pairs, so that each pair meets in one: both in the tile's band or one in that above,
+    and in the two blocks of the tile."""
+    copies = small.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    tokens = sets(docs, small, table(labels.select("node").distinct(), "nodes"), True)
+    ids = table(tokens.select("node", "n").join(labels, "node").join(copies, "node").withColumn("band", band(F.col("n"))), "members")
+    rows = ids.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_TOKENS)).cast("int")
+    tiles = rows.groupBy("label", "tile").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m"), F.min("band").alias("low")).where("m > 1 and low = tile")
+    rows = rows.join(table(tiles.select("label", "tile", "blocks"), "tiles"), ["label", "tile"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    key = ["label", "tile", "i", "j"]
+    rows = rows.join(tokens.select("node", "tokens"), "node").select(*key, "node", "n", "c", "band", "mine", "tokens").repartition(partitions(docs.sparkSession), *key).sortWithinPartitions(*key)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(members: list[tuple], k: tuple) -> pa.RecordBatch:
+            m = len(members)
+            node, n, c, up, mine = (np.array([x[f] for x in members], np.int64) for f in range(5))
+            up = up == k[1] + 1
+            t = np.concatenate([np.frombuffer(x[5], np.uint64) for x in members])
+            who = np.repeat(np.arange(m), n)
+            _, at, held = np.unique(t, return_inverse=True, return_counts=True)
+            some = (held > 1) & (held < m)  # tokens of one set are in no intersection, those of all in every one
+            column = np.cumsum(some) - 1
+            keep = some[at]
+            who, at = who[keep], column[at[keep]]
+            order = np.argsort(at, kind="stable")
+            who, at = who[order], at[order]
+            shared = np.full((m, m), (held == m).sum(), np.float32)
+            for a in range(0, int(some.sum()), COLUMNS):
+                x, y = np.searchsorted(at, [a, a + COLUMNS])
+                part = np.zeros((m, min(COLUMNS, int(some.sum()) - a)), np.float32)
+                part[who[x:y], at[x:y] - a] = 1
+                shared += part @ part.T
+            out = np.zeros(m, np.int64)
+            for a in range(0, m, 256):
+                x = np.arange(a, min(a + 256, m))
+                ok = linked(shared[x].astype(np.int64), n[x, None] + n) & ~(up[x, None] & up)
+                ok[np.arange(len(x)), x] = False
+                if k[2] != k[3]:
+                    ok &= mine[x, None] != mine
+                out[x] = ok @ c
+            return pa.RecordBatch.from_arrays([pa.array(node[out > 0]), pa.array(out[out > 0])], names=["node", "links"])
+
+        now, members = None, []
+        for batch in it:
+            columns = [batch.column(x).to_pylist() for x in batch.schema.names[:-1]]
+            for row in zip(*columns, (x.as_buffer() for x in batch.column("tokens")), strict=True):
+                if row[:4] != now:
+                    if len(members) > 1:
+                        yield links(members, now)
+                    now, members = row[:4], []
+                members.append(row[4:])
+        if len(members) > 1:
+            yield links(members, now)
+
+    return table(rows.mapInArrow(run, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")), "counted")
+
+
+def component_ids(small: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, its number of rows c and the component, of all sets that are linked to another row."""
+    node = small.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
+    named = node.join(labels, "node", "left").where("c > 1 or label is not null").select("node", "least", "c", F.coalesce("label", "node").alias("label"))
+    named = table(named, "named")
+    least = table(named.groupBy("label").agg(F.min("least").alias("component")), "least")
+    return table(named.join(least, "label").select("node", "c", "component"), "components")
+
+
 def component_table(docs: DataFrame) -> DataFrame:
-    """The digest of op9: doc_id, n_shingles, component_id.
+    """doc_id, n_shingles, component_id.
 
     Null, empty or blank text: no shingles, a component of its own. Equal texts and repeated rows: linked. Null doc_id:
     linked as any other, and never the smallest. Very long texts: hashed piece by piece. Empty tables: empty results.
     """
     small, labels = link(docs)
-    node = small.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
-    named = node.join(labels, "node", "left").where("c > 1 or label is not null").select("node", "least", F.coalesce("label", "node").alias("label"))
-    named = table(named, "named")
-    least = table(named.groupBy("label").agg(F.min("least").alias("component")), "least")
-    ids = table(named.join(least, "label").select("node", "component"), "components")
+    ids = component_ids(small, labels).drop("c")
     return small.join(limited(ids), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def link_table(docs: DataFrame) -> DataFrame:
+    """The digest of op9: as component_table, and n_links, the number of other rows that each row is linked to."""
+    small, labels = link(docs)
+    links = F.col("c") - 1 + F.coalesce("links", F.lit(0))
+    ids = component_ids(small, labels).join(counted_links(docs, small, labels), "node", "left").select("node", "component", links.alias("n_links"))
+    found = small.join(limited(table(ids, "links")), "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without those that another of their group stands for: the smallest doc_id stays. Same columns."""
     spark: SparkSession = docs.sparkSession
@@ -412,4 +490,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return left.join(twice, same, "left_anti").unionByName(again)
 
 
-__all__ = ["component_table", "keep_one", "link", "pack"]
+__all__ = ["component_table", "keep_one", "link", "link_table", "pack"]

@@ -26,7 +26,7 @@ QUERIES = {
     "op6_matroska": lambda s, d: matroska.media_table(_read(s, d, "documents")),
     "op7_language": lambda s, d: language.language_table(_read(s, d, "documents")),
     "op8_suffix": lambda s, d: suffix.dedup_table(_read(s, d, "documents")),
-    "op9_jaccard": lambda s, d: jaccard.component_table(_read(s, d, "documents")),
+    "op9_jaccard": lambda s, d: jaccard.link_table(_read(s, d, "documents")),
     "op10_mixing": lambda s, d: mixing.mixture_table(_read(s, d, "documents")),
     "pipeline": _pipeline,
 }

@@ -484,3 +484,33 @@ def test_imatch_short_texts_without_a_lexicon():
     fp = imatch.fingerprints(*imatch._strings([" ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"u{i}" for i in range(30)), "one", "two", ""]), none, none)
     assert imatch.likeness(fp[:1], fp[1:2])[0] > 0.4 > imatch.likeness(fp[:1], fp[2:3])[0]
     assert fp[3].any() and fp[4].any() and imatch.likeness(fp[3:4], fp[4:5])[0] == 0
+
+
+def plain_links(rows: list[Row]) -> Counter:
+    sets = plain_sets(rows)
+    alike = lambda i, j: i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    return Counter((r.doc_id, len(sets[i]), sum(bool(alike(i, j)) for j in range(len(rows)))) for i, r in enumerate(rows))
+
+
+def test_jaccard_links(docs):
+    got = jaccard.link_table(docs).collect()
+    assert Counter((g.doc_id, g.n_shingles, g.n_links) for g in got) == plain_links(plain(docs))
+    assert Counter((g.doc_id, g.n_shingles, g.component_id) for g in got) == plain_components(plain(docs))
+
+
+def test_jaccard_links_of_a_large_group(spark, monkeypatch):
+    """Every pair of a group of near copies and copies of them is counted once, in one tile or in many."""
+    r, rows = random.Random(8), []
+    words = [f"w{i}" for i in range(60)]
+    for i in range(90):
+        w = words[: 60 - i % 20]
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(9)}"
+        rows += [(len(rows) + k, " ".join(w)) for k in range(1 + (i % 10 == 0))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).cache()
+    want = plain_links(df.collect())
+    assert len({n for _, _, n in want}) > 5
+    for tile, tokens, columns in ((2048, 1 << 21, 1024), (7, 1 << 21, 5), (2048, 500, 1024)):
+        for name, value in (("TILE", tile), ("TILE_TOKENS", tokens), ("COLUMNS", columns)):
+            monkeypatch.setattr(jaccard, name, value)
+        assert Counter((g.doc_id, g.n_shingles, g.n_links) for g in jaccard.link_table(df).collect()) == want
