@@ -17,6 +17,8 @@ SCALE = 1 << 12
 _LETTER = regex.compile(r"\p{L}")
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 SLICE_CHARS = 1 << 18
+HELD = 200  # languages whose counts a task holds at once (100 MB)
+BLOCK = 64  # languages that are scored at once
 
 
 @dataclass(frozen=True)
@@ -74,7 +76,8 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
                 f = features(part, order)[:SLICE_CHARS]
                 cuts = begins[begins < len(f)]
                 if len(cuts):
-                    total[first : first + len(cuts)] += np.add.reduceat(model.matrix[f], cuts, axis=0, dtype=np.int64)
+                    for b in range(0, len(model.languages), BLOCK):
+                        total[first : first + len(cuts), b : b + BLOCK] += np.add.reduceat(model.matrix[:, b : b + BLOCK][f], cuts, axis=0, dtype=np.int64)
         logs = total / SCALE
         post = np.exp(logs - logs.max(axis=1, keepdims=True))
         best = total.argmax(axis=1)
@@ -90,41 +93,51 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
-def fit(docs: DataFrame, per_language: int = 1000, max_languages: int = 200, smoothing: float = 0.1) -> Model:
-    """Counts n-grams of whole texts, of about `per_language` documents of each of the `max_languages` commonest languages.
+def fit(docs: DataFrame, per_language: int = 1000, smoothing: float = 0.1) -> Model:
+    """Counts n-grams of whole texts, of about `per_language` documents of each language, however many there are.
 
     The sample is by a hash of doc_id and is the only bounded part; the test fold and rows without text or lang are left out.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros(((1 << BITS) + 1, 0), np.int32))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share).select("lang", "text").repartition(8)
+    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text").repartition(8)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
         totals: dict[str, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"lang": [*totals], "counts": [zlib.compress(v.tobytes(), 1) for v in totals.values()]}, schema)
+            totals.clear()
+            return out
+
         for batch in it:
             names = batch.column("lang").to_pylist()
             texts = batch.column("text").to_pylist()
-            for lang in set(names):
+            for lang in sorted(set(names)):
+                if lang not in totals and len(totals) >= HELD:
+                    yield flush()
                 sums = totals.setdefault(lang, np.zeros((1 << BITS) + 1, np.int64))
                 for _, _, cp, _ in batches([t for t, x in zip(texts, names, strict=True) if x == lang]):
                     for _, part in pieces(cp):
                         for order in ORDERS:
                             sums += np.bincount(features(part, order)[:SLICE_CHARS], minlength=len(sums))
-        yield pa.RecordBatch.from_pydict({"lang": [*totals], "counts": [zlib.compress(v.tobytes(), 1) for v in totals.values()]}, pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
+        yield flush()
 
+    place = {x: k for k, x in enumerate(languages)}
     counts = np.zeros((1 << BITS, len(languages)))
-    for r in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():  # 8 tasks, one fixed-size row a language
-        counts[:, languages.index(r["lang"])] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)[: 1 << BITS]
-    logs = np.log((counts + smoothing) / (counts + smoothing).sum(axis=0))
+    for r in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():  # 8 tasks, fixed-size rows of languages
+        counts[:, place[r["lang"]]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)[: 1 << BITS]
     prior = np.log(np.array([sizes[x] for x in languages]) / sum(sizes.values()))
-    matrix = np.vstack([np.round(logs * SCALE), np.zeros((1, len(languages)))]).astype(np.int32)
+    matrix = np.zeros(((1 << BITS) + 1, len(languages)), np.int32)
+    for a in range(0, len(languages), BLOCK):
+        part = counts[:, a : a + BLOCK] + smoothing
+        matrix[:-1, a : a + BLOCK] = np.round(np.log(part / part.sum(axis=0)) * SCALE)
     return Model(languages, np.round(prior * SCALE).astype(np.int64), matrix)
 
 

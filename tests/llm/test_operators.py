@@ -514,3 +514,15 @@ def test_jaccard_links_of_a_large_group(spark, monkeypatch):
         for name, value in (("TILE", tile), ("TILE_TOKENS", tokens), ("COLUMNS", columns)):
             monkeypatch.setattr(jaccard, name, value)
         assert Counter((g.doc_id, g.n_shingles, g.n_links) for g in jaccard.link_table(df).collect()) == want
+
+
+def test_language_learns_every_label(spark):
+    """More than 200 labels: the rarest are learned as well."""
+    names = [f"l{i:03}" for i in range(230)]
+    rows = [(i * 20 + k, " ".join([chr(0x4E00 + i * 3), chr(0x4E01 + i * 3)] * 5), x, "s") for i, x in enumerate(names) for k in range(12 if i < 210 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(2)
+    model = language.fit(docs)
+    assert model.languages == names
+    want = {d: x for d, _, x, _ in rows}
+    got = language.identify(docs, model, ["doc_id"]).collect()
+    assert len(got) == len(rows) and all(g.lang_pred == want[g.doc_id] for g in got)
