@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.graph import components
@@ -63,11 +63,11 @@ def prefix_length(n: int) -> int:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node of each row, and the ranges of a count sketch over all shingles (kind 1), written once."""
+    """doc_id, same (a hash of the text), n, node of each row, and the ranges of a count sketch over all shingles (kind 1), written once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size, known = np.zeros(1 << SKETCH_BITS, np.int64), [], 0, set()
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
         for batch in it:
             ns, nodes = [], []
             for _, s in documents_of(batch):
@@ -81,7 +81,7 @@ def measure(docs: DataFrame) -> DataFrame:
                         counts += np.bincount((np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                         held, size = [], 0
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column("doc_id"), batch.column("same"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
             if len(known) > FLUSH:
                 known = set()
         if held:
@@ -90,10 +90,10 @@ def measure(docs: DataFrame) -> DataFrame:
         own = [k for k in range(RANGES) if parts[k].any()]
         if own:
             m = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own], pa.binary())], schema=schema)
 
-    ddl = "kind int, doc_id bigint, n bigint, node bigint, bucket int, blob binary"
-    return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl), "measured")
+    ddl = "kind int, doc_id bigint, same bigint, n bigint, node bigint, bucket int, blob binary"
+    return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), "text").mapInArrow(run, ddl), "measured")
 
 
 def commonness(measured: DataFrame) -> np.ndarray:
@@ -360,9 +360,9 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, node) and the labels (node, label) of sets that are linked to others."""
+    """Rows (doc_id, same, n, node) and the labels (node, label) of sets that are linked to others."""
     measured = measure(docs)
-    small = measured.where("kind = 0").select("doc_id", "n", "node")
+    small = measured.where("kind = 0").select("doc_id", "same", "n", "node")
     met = groups(docs, commonness(measured))
     bits = sets(docs, small, table(met.select("node").distinct(), "nodes"), False)
     # One likely link a set merges most copies, so that groups of copies are not compared pair by pair.
@@ -475,19 +475,25 @@ def link_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without those that another of their group stands for: the smallest doc_id stays. Same columns."""
-    spark: SparkSession = docs.sparkSession
-    found = table(component_table(docs), "dedup")
-    gone = table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(limited(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = found.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    twice = table(twice, "twice")
+    """One row of each component stays, and all rows without words. Same columns.
+
+    It is the row with the smallest doc_id, null last; of several texts under that id, the one with the least hash. Rows
+    are known by doc_id and text together: another text under the id of a row that goes is judged for itself."""
+    small, labels = link(docs)
+    named = small.where("node is not null").join(labels, "node", "left").select("doc_id", "same", F.coalesce("label", "node").alias("label"))
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("first"), F.count(F.lit(1)).alias("c"))
+    first = table(first.where("c > 1").select("label", "first"), "first")
+    found = table(named.join(limited(first), "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("same") == F.col("first.same"))), "dedup")
+    names = [F.col("doc_id").alias("_id"), F.col("same").alias("_as")]
+    gone = table(found.where("not stays").select(*names).distinct(), "gone")
+    twice = table(found.where("stays").groupBy(*names).count().where("count > 1").select("_id", "_as"), "twice")
+    rows = docs.withColumn("_same", F.xxhash64("text"))
+    alike = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_as"))
+    left = rows.join(limited(gone), alike, "left_anti")
     if twice.isEmpty():
-        return left
-    same = F.col("doc_id") == F.col("_id")
-    again = left.join(twice, same, "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    assert spark is not None
-    return left.join(twice, same, "left_anti").unionByName(again)
+        return left.drop("_same")
+    again = left.join(limited(twice), alike, "left_semi").dropDuplicates(["doc_id", "_same"])
+    return left.join(limited(twice), alike, "left_anti").unionByName(again).drop("_same")
 
 
 __all__ = ["component_table", "keep_one", "link", "link_table", "pack"]

@@ -526,3 +526,11 @@ def test_language_learns_every_label(spark):
     want = {d: x for d, _, x, _ in rows}
     got = language.identify(docs, model, ["doc_id"]).collect()
     assert len(got) == len(rows) and all(g.lang_pred == want[g.doc_id] for g in got)
+
+
+def test_jaccard_keeps_one_row_and_not_one_id(spark):
+    """An id with two texts, near copies under one id, and copies without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c + " more"), (None, d), (None, d), (None, d + " more"), (9, ""), (9, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text[:1]) for r in kept) == Counter([(3, "a"), (5, "b"), (7, "c"), (None, "d"), (9, ""), (9, "")])
