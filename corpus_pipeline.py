@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, jaccard, language, mixing, secrets
 from tesserae.llm.shared import table
@@ -10,7 +11,8 @@ from tesserae.llm.shared import table
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without any language (null, or without a letter) go."""
-    return language.identify(docs, language.fit(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    judged = language.identify(docs, language.fit(docs))
+    return judged.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*docs.columns)  # or not judged, as nothing was learned
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,8 @@ def pieces(cp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and posterior of each text; `und` and 0 without a letter. Sums are of integers: equal texts, equal results."""
+    if not model.languages:
+        return ["und"] * len(texts), [0.0] * len(texts)
     langs, scores = [], []
     for i, j, cp, starts in batches(texts):
         total = np.zeros((j - i, len(model.languages)), np.int64) + model.prior
@@ -82,7 +84,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
         post = np.exp(logs - logs.max(axis=1, keepdims=True))
         best = total.argmax(axis=1)
         for k, t in enumerate(texts[i:j]):
-            known = t is not None and _LETTER.search(t) is not None and len(model.languages) > 0
+            known = t is not None and _LETTER.search(t) is not None
             langs.append(model.languages[best[k]] if known else "und")
             scores.append(float(post[k, best[k]] / post[k].sum()) if known else 0.0)
     return langs, scores

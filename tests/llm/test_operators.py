@@ -534,3 +534,11 @@ def test_jaccard_keeps_one_row_and_not_one_id(spark):
     rows = [(3, a), (5, a), (5, b), (7, c), (7, c + " more"), (None, d), (None, d), (None, d + " more"), (9, ""), (9, "")]
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
     assert Counter((r.doc_id, r.text[:1]) for r in kept) == Counter([(3, "a"), (5, "b"), (7, "c"), (None, "d"), (9, ""), (9, "")])
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "some words", None), (2, "日本", None), (3, "12 34", None), (4, None, None), (5, "", None)]
+    kept = p.language_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "").collect()
+    assert {r.doc_id for r in kept} == {1, 2}
