@@ -32,7 +32,7 @@ class Model:
 
 def features(cp: np.ndarray, order: int) -> np.ndarray:
     """The hashed n-gram at each position; 2^BITS where it would run over the end of a text (code point 0)."""
-    n = len(cp) - order + 1
+    n = max(0, len(cp) - order + 1)
     h, gone = np.zeros(n, np.uint32), np.zeros(n, bool)
     for k in range(order):
         part = cp[k : k + n]

@@ -542,3 +542,13 @@ def test_language_stage_without_labels(spark):
     rows = [(1, "some words", None), (2, "日本", None), (3, "12 34", None), (4, None, None), (5, "", None)]
     kept = p.language_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "").collect()
     assert {r.doc_id for r in kept} == {1, 2}
+
+
+@pytest.mark.parametrize("more", range(-6, 4))
+def test_language_lengths_around_a_slice(real, more, monkeypatch):
+    monkeypatch.setattr(language, "SLICE_CHARS", 64)
+    text = "ab" * 96
+    model = language.fit(real.limit(20))
+    langs, _ = language.predict(model, [text[: 128 + more], "x"])
+    assert len(langs) == 2
+    assert [len(language.features(np.ones(n, np.uint32), 3)) for n in (0, 1, 2, 3)] == [0, 0, 0, 1]
