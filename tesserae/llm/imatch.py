@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from tesserae.llm.shared import BLOBS, U, blob_batch, by_bucket, gathered, limited, mix, pack, partitions, slices, table, text_bytes, to_buckets, unpack, word_hashes
 
 SUBSETS = 64
-LEVELS = 8  # of subset sizes: a term is in a subset of level k with chance 2^-(k + 4)
+#: Levels of subset sizes: a term is in a subset of level k with chance 2^-(k + 4). Subsets that drop a third of the
+#: lexicon, as a single classic fingerprint has them, change with nearly every edit; with small ones of several sizes, the
+#: share of subsets that agree falls gradually with the share of terms that differ, for short and for long documents.
+LEVELS = 8
 LOW, HIGH = 0.001, 0.2  # share of documents a term of the lexicon is in
 THIN, FEW = 0.25, 16  # a row with less than this share of lexicon terms, or fewer, falls back, the more so the less
 FLUSH = 1 << 21
@@ -142,27 +145,35 @@ def _strings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint_table(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """The digest of op1: fingerprints of whole texts and of their edited forms, and their likenesses.
 
-    Order: doc_id, null last, then text. One shuffle: documents go to ranges of doc_id, and the first of each range
-    also to the range before it, as the last one's successor. Null text is empty; equal doc_ids stay side by side.
+    Order: doc_id, null last, then a hash of the text, then the text. One shuffle: documents go to ranges of this order,
+    and the first of each range also to the range before it, as the last one's successor. An id that holds many rows, or
+    null, is spread over as many ranges as it has cuts, by the hash of the text. Null text is empty. Very long texts are
+    hashed piece by piece. Ties: rows alike in id and text stand side by side. Repeated rows: each is a row of the
+    result. An empty table gives an empty result. Other columns of the table are not read, whatever their names.
     """
     spark = docs.sparkSession
     lex = lexicon(docs, low, high)
     sent = spark.sparkContext.broadcast((lex, subsets(lex)))
     parts = partitions(spark) * 2
     last = (1 << 63) - 1
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 4 * parts).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)).alias("k"), F.xxhash64(text).alias("h"), "doc_id", text.alias("text"))
+    cuts = keyed.agg(F.percentile_approx("k", [k / parts for k in range(1, parts)], 4 * parts).alias("c")).first()["c"] or []
     edges = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    dealt = docs.select(key.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("dest", F.size(F.filter(edges, lambda c: c <= F.col("k"))))
-    firsts = {r["dest"]: r["k"] for r in dealt.select("dest", "k").groupBy("dest").agg(F.min("k").alias("k")).collect()}  # one row a range
+    below = F.size(F.filter(edges, lambda c: c < F.col("k")))
+    own_cuts = F.size(F.filter(edges, lambda c: c == F.col("k")))
+    share = F.least((F.col("h") / float(1 << 64) + 0.5) * own_cuts, own_cuts - 1).cast("int")
+    dealt = keyed.withColumn("dest", F.when(own_cuts > 0, below + 1 + share).otherwise(below))
+    firsts = {r["dest"]: r["first"] for r in dealt.select("dest", "k", "h").groupBy("dest").agg(F.min(F.struct("k", "h")).alias("first")).collect()}  # one row a range
     full = sorted(firsts)
-    heads = F.create_map(*(F.lit(x) for d in full for x in (d, firsts[d]))) if full else F.lit(None).cast("map<int,bigint>")
+    heads = F.create_map(*(x for d in full for x in (F.lit(d), F.struct(F.lit(firsts[d].k).alias("k"), F.lit(firsts[d].h).alias("h"))))) if full else F.lit(None).cast("map<int,struct<k:bigint,h:bigint>>")
     before = F.create_map(*(F.lit(x) for i, d in enumerate(full) for x in (d, full[i - 1]))) if full else F.lit(None).cast("map<int,int>")
     spot = lambda dest, carry: F.struct(dest.cast("int").alias("dest"), F.lit(carry).alias("carry"))
     own = spot(F.col("dest"), False)
-    both = F.when(F.col("k") == heads[F.col("dest")], F.array(own, spot(before[F.col("dest")], True))).otherwise(F.array(own))
-    sorted_rows = dealt.withColumn("to", F.explode(both)).select("to.dest", "to.carry", "k", "doc_id", "text").repartition(partitions(spark), "dest").sortWithinPartitions("dest", "carry", "k", "text")
+    head = heads[F.col("dest")]
+    both = F.when((F.col("k") == head["k"]) & (F.col("h") == head["h"]), F.array(own, spot(before[F.col("dest")], True))).otherwise(F.array(own))
+    order = ["dest", "carry", "k", "h", "text"]
+    sorted_rows = dealt.withColumn("to", F.explode(both)).select("to.dest", "to.carry", "k", "h", "doc_id", "text").repartition(partitions(spark), "dest").sortWithinPartitions(*order)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, masks = sent.value

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.graph import components
-from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, limited, mix, pack, partitions, slices, table, text_bytes, to_buckets, unpack, word_hashes
+from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, limited, mix, pack, partitions, slices, table, text_bytes, to_buckets, unpack, unused, word_hashes
 
 WORDS = 5
 NUM, DEN = 75, 100  # the least likeness
@@ -22,6 +22,7 @@ TILE_TOKENS = 1 << 21  # and, where links are counted, their tokens (16 MB)
 COLUMNS = 1024  # tokens of a tile that are compared at once
 GROUPS_KNOWN = 32  # groups of a set, the first by id, that its other groups know, to leave shared pairs to them
 MERGING = 2  # rounds in which each set is compared with its likeliest partners alone
+CLASHES = 10_000  # shared ids of sets that are told apart
 _SEED = U(0x9FB21C651E98DF25)
 
 
@@ -46,9 +47,15 @@ def shingles(buf: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def set_id(s: np.ndarray) -> int:
-    """One 64-bit id for equal sets."""
-    return int(mix(mix(s ^ _SEED).sum(dtype=np.uint64, keepdims=True) + U(len(s))).view(np.int64)[0])
+def set_id(s: np.ndarray, seed: int = 0) -> int:
+    """One 64-bit id for equal sets; with another seed, a second one that is independent of it."""
+    return int(mix(mix(s ^ _SEED if not seed else s * _SEED + U(seed & (1 << 64) - 1)).sum(dtype=np.uint64, keepdims=True) + U(len(s))).view(np.int64)[0])
+
+
+def node_of(s: np.ndarray, clashes: frozenset) -> int:
+    """A set's id; where different sets share one, it is made from their second ids, so that 128 bits tell sets apart."""
+    first = set_id(s)
+    return set_id(s, first | 1) if first in clashes else first
 
 
 def documents_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,16 +70,18 @@ def prefix_length(n: int) -> int:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, same (a hash of the text), n, node of each row, and the ranges of a count sketch over all shingles (kind 1), written once."""
+    """doc_id, same (a hash of the text), n, node and second (ids) of each row, and the ranges of a count sketch over all
+    shingles (kind 1), written once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size, known = np.zeros(1 << SKETCH_BITS, np.int64), [], 0, set()
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("second", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
         for batch in it:
-            ns, nodes = [], []
+            ns, nodes, seconds = [], [], []
             for _, s in documents_of(batch):
                 ns.append(len(s))
                 nodes.append(set_id(s) if len(s) else None)
+                seconds.append(set_id(s, nodes[-1] | 1) if len(s) else None)
                 if len(s) and nodes[-1] not in known:
                     known.add(nodes[-1])
                     held.append(s)
@@ -81,7 +90,7 @@ def measure(docs: DataFrame) -> DataFrame:
                         counts += np.bincount((np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                         held, size = [], 0
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column("doc_id"), batch.column("same"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column("doc_id"), batch.column("same"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(seconds, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
             if len(known) > FLUSH:
                 known = set()
         if held:
@@ -90,9 +99,9 @@ def measure(docs: DataFrame) -> DataFrame:
         own = [k for k in range(RANGES) if parts[k].any()]
         if own:
             m = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(5)), pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own], pa.binary())], schema=schema)
 
-    ddl = "kind int, doc_id bigint, same bigint, n bigint, node bigint, bucket int, blob binary"
+    ddl = "kind int, doc_id bigint, same bigint, n bigint, node bigint, second bigint, bucket int, blob binary"
     return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), "text").mapInArrow(run, ddl), "measured")
 
 
@@ -116,7 +125,16 @@ def commonness(measured: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def clashing(measured: DataFrame) -> frozenset:
+    """Ids that different sets share: at ten thousand million sets, fewer than ten are to be expected."""
+    twice = measured.where("node is not null").groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b")
+    found = twice.select("node").limit(CLASHES + 1).collect()
+    if len(found) > CLASHES:
+        raise RuntimeError(f"more than {CLASHES} ids of sets are shared")
+    return frozenset(r["node"] for r in found)
+
+
+def groups(docs: DataFrame, common: np.ndarray, clashes: frozenset) -> DataFrame:
     """Sets that share a prefix token: g, node, n, weight, and the next smaller member (prev, prev_n) if its size fits.
 
     Postings go to token buckets as packed arrays, equal sets once from each task. g is a hash of the members:
@@ -138,7 +156,7 @@ def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
         for batch in it:
             for _, s in documents_of(batch):
-                if not len(s) or (node := set_id(s)) in known:
+                if not len(s) or (node := node_of(s, clashes)) in known:
                     continue
                 known.add(node)
                 t = (rank[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U(56)) | (s & U((1 << 56) - 1))
@@ -196,7 +214,7 @@ def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return table(one, "groups")
 
 
-def sets(docs: DataFrame, small: DataFrame, nodes: DataFrame, tokens: bool) -> DataFrame:
+def sets(docs: DataFrame, small: DataFrame, nodes: DataFrame, tokens: bool, clashes: frozenset) -> DataFrame:
     """node, n and bits (or the sorted, packed tokens) of the wanted nodes, one row each, from one document's text."""
     ids = table(small.join(limited(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -205,7 +223,7 @@ def sets(docs: DataFrame, small: DataFrame, nodes: DataFrame, tokens: bool) -> D
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [(set_id(s), len(s), (s if tokens else bitmap(s)).tobytes()) for _, s in documents_of(batch) if len(s)]
+            found = [(node_of(s, clashes), len(s), (s if tokens else bitmap(s)).tobytes()) for _, s in documents_of(batch) if len(s)]
             for a in range(0, len(found), 256):
                 part = found[a : a + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", what])
@@ -269,7 +287,7 @@ def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return _filtered(pairs, bits, "bits", test)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, small: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, small: DataFrame, clashes: frozenset) -> DataFrame:
     """The pairs (a, b) that are links, by intersecting the sorted arrays of the sets that are in a pair."""
 
     def test(m: int, x: np.ndarray, n: int, y: np.ndarray) -> bool:
@@ -278,7 +296,7 @@ def verify(pairs: DataFrame, docs: DataFrame, small: DataFrame) -> DataFrame:
         return linked(int((y[at] == x).sum()), m + n)
 
     nodes = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    return _filtered(pairs, sets(docs, small, nodes, True), "tokens", test)
+    return _filtered(pairs, sets(docs, small, nodes, True, clashes), "tokens", test)
 
 
 def band(n: Column) -> Column:
@@ -359,17 +377,19 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, same, n, node) and the labels (node, label) of sets that are linked to others."""
+def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
+    """Rows (doc_id, same, n, node), the labels (node, label) of sets that are linked to others, and ids that sets share."""
     measured = measure(docs)
-    small = measured.where("kind = 0").select("doc_id", "same", "n", "node")
-    met = groups(docs, commonness(measured))
-    bits = sets(docs, small, table(met.select("node").distinct(), "nodes"), False)
+    clashes = clashing(measured)
+    node = F.when(F.col("node").isin(*clashes), F.col("second")).otherwise(F.col("node")) if clashes else F.col("node")
+    small = measured.where("kind = 0").select("doc_id", "same", "n", node.alias("node"))
+    met = groups(docs, commonness(measured), clashes)
+    bits = sets(docs, small, table(met.select("node").distinct(), "nodes"), False, clashes)
     # One likely link a set merges most copies, so that groups of copies are not compared pair by pair.
     best = met.where("prev is not null").groupBy("node", "prev").agg(F.sum("weight").alias("w"))
     best = best.groupBy("node").agg(F.max_by("prev", F.struct("w", "prev")).alias("prev"))
     first = table(plausible(best.select(F.col("prev").alias("a"), F.col("node").alias("b")), bits), "first")
-    links = table(verify(first, docs, small), "links")
+    links = table(verify(first, docs, small, clashes), "links")
     labels = components(links)
     # Other members of a group are compared unless they are together already: in MERGING rounds each set with the
     # likeliest in each of its groups; in the last round, all pairs that are left.
@@ -378,19 +398,19 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         members = table(members.select("g", "node", "n", F.coalesce("label", "node").alias("label")), "members")
         spread = members.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
         rest = table(tile_pairs(members.join(table(spread, "open"), "g", "left_semi"), bits, k < MERGING), "pairs")
-        links = table(links.union(verify(rest, docs, small)), "links")
+        links = table(links.union(verify(rest, docs, small, clashes)), "links")
         labels = components(links)
-    return small, labels
+    return small, labels, clashes
 
 
-def counted_links(docs: DataFrame, small: DataFrame, labels: DataFrame) -> DataFrame:
+def counted_links(docs: DataFrame, small: DataFrame, labels: DataFrame, clashes: frozenset) -> DataFrame:
     """node and links: in how many rows a linked set occurs that is another one. No pairs are written.
 
     All links are inside components, so every pair of a component's sets is compared exactly, but those whose sizes rule
     a link out. Tiles are as in tile_pairs, so that each pair meets in one: both in the tile's band or one in that above,
     and in the two blocks of the tile."""
     copies = small.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-    tokens = sets(docs, small, table(labels.select("node").distinct(), "nodes"), True)
+    tokens = sets(docs, small, table(labels.select("node").distinct(), "nodes"), True, clashes)
     ids = table(tokens.select("node", "n").join(labels, "node").join(copies, "node").withColumn("band", band(F.col("n"))), "members")
     rows = ids.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_TOKENS)).cast("int")
@@ -458,18 +478,19 @@ def component_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id.
 
     Null, empty or blank text: no shingles, a component of its own. Equal texts and repeated rows: linked. Null doc_id:
-    linked as any other, and never the smallest. Very long texts: hashed piece by piece. Empty tables: empty results.
+    linked as any other, and never the smallest. Very long texts: hashed piece by piece. Ties of candidates change no
+    result. Empty tables: empty results. Other columns of the table are not read, whatever their names.
     """
-    small, labels = link(docs)
+    small, labels, _ = link(docs)
     ids = component_ids(small, labels).drop("c")
     return small.join(limited(ids), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def link_table(docs: DataFrame) -> DataFrame:
     """The digest of op9: as component_table, and n_links, the number of other rows that each row is linked to."""
-    small, labels = link(docs)
+    small, labels, clashes = link(docs)
     links = F.col("c") - 1 + F.coalesce("links", F.lit(0))
-    ids = component_ids(small, labels).join(counted_links(docs, small, labels), "node", "left").select("node", "component", links.alias("n_links"))
+    ids = component_ids(small, labels).join(counted_links(docs, small, labels, clashes), "node", "left").select("node", "component", links.alias("n_links"))
     found = small.join(limited(table(ids, "links")), "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -478,22 +499,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays, and all rows without words. Same columns.
 
     It is the row with the smallest doc_id, null last; of several texts under that id, the one with the least hash. Rows
-    are known by doc_id and text together: another text under the id of a row that goes is judged for itself."""
-    small, labels = link(docs)
+    are known by doc_id and text together: another text under the id of a row that goes is judged for itself. Null, empty
+    and blank texts have no words and stay. Repeated rows: one stays. Very long texts: hashed piece by piece. Empty tables:
+    empty results. Columns of any names pass through; the ones made here have names that the table does not have."""
+    _id, _as, _same = (unused(docs, x) for x in ("_id", "_as", "_same"))
+    small, labels, _ = link(docs)
     named = small.where("node is not null").join(labels, "node", "left").select("doc_id", "same", F.coalesce("label", "node").alias("label"))
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("first"), F.count(F.lit(1)).alias("c"))
     first = table(first.where("c > 1").select("label", "first"), "first")
     found = table(named.join(limited(first), "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("same") == F.col("first.same"))), "dedup")
-    names = [F.col("doc_id").alias("_id"), F.col("same").alias("_as")]
+    names = [F.col("doc_id").alias(_id), F.col("same").alias(_as)]
     gone = table(found.where("not stays").select(*names).distinct(), "gone")
-    twice = table(found.where("stays").groupBy(*names).count().where("count > 1").select("_id", "_as"), "twice")
-    rows = docs.withColumn("_same", F.xxhash64("text"))
-    alike = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_as"))
+    twice = table(found.where("stays").groupBy(*names).count().where("count > 1").select(_id, _as), "twice")
+    rows = docs.withColumn(_same, F.xxhash64("text"))
+    alike = F.col("doc_id").cast("bigint").eqNullSafe(F.col(_id)) & (F.col(_same) == F.col(_as))
     left = rows.join(limited(gone), alike, "left_anti")
     if twice.isEmpty():
-        return left.drop("_same")
-    again = left.join(limited(twice), alike, "left_semi").dropDuplicates(["doc_id", "_same"])
-    return left.join(limited(twice), alike, "left_anti").unionByName(again).drop("_same")
+        return left.drop(_same)
+    again = left.join(limited(twice), alike, "left_semi").dropDuplicates(["doc_id", _same])
+    return left.join(limited(twice), alike, "left_anti").unionByName(again).drop(_same)
 
 
 __all__ = ["component_table", "keep_one", "link", "link_table", "pack"]

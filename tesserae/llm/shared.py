@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,9 +21,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (conf or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share. Only a local session, as in tests, may do without the setting."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (conf or f"{tempfile.gettempdir()}/tesserae-tables").rstrip("/")
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -29,7 +33,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of `table` that no later step reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def limited(df: DataFrame) -> DataFrame:
@@ -37,6 +50,14 @@ def limited(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -50,34 +71,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-BASE = U(0x9E3779B97F4A7C17)  # odd; 1 - BASE has few factors of two
-INVERSE = U(pow(int(BASE), -1, 1 << 64))
-BYTES = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
-#: The same with A-Z taken for a-z.
-LOWER_BYTES = BYTES.copy()
-LOWER_BYTES[65:91] = BYTES[97:123]
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        p = np.full(max(n, SLICE_BYTES + 64), base, np.uint64)
-        p[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(p)
-    return have[:n]
-
-
-def prefix_hashes(buf: np.ndarray, codes: np.ndarray = BYTES) -> np.ndarray:
-    """P with P[j] - P[i] the polynomial hash of bytes i to j, times BASE to the i."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(codes[buf] * powers(BASE, len(buf)), out=out[1:])
-    return out
-
-
-def range_hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, equal for equal bytes wherever they stand."""
-    return mix((p[end] - p[start]) * powers(INVERSE, len(p))[start])
+#: A-Z as a-z; every other byte as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_SEEDS = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+LONG = 256  # bytes beyond which a range is hashed by itself
+
+
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; behind the end there are zeros."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand. Two seeds give 128 bits.
+
+    Eight bytes at a time go through a mixing function, which is no polynomial, so that no strings collide by their
+    structure, whatever the modulus. Ranges over LONG bytes are hashed one by one, with a cryptographic hash."""
+    view, length = lanes(buf), end - start
+    h = mix(length.astype(np.uint64) * _SEEDS[seed] + U(seed + 1))
+    some = np.flatnonzero(length <= LONG)
+    at, left, state = start[some], length[some], h[some]
+    for k in range(0, LONG, 8):
+        if k:
+            on = left > k
+            if not on.all():
+                h[some] = state
+                some, at, left, state = some[on], at[on], left[on], state[on]
+        if not len(some):
+            break
+        state = mix((state ^ (view[at + k] & FIRST[np.minimum(left - k, 8)])) + _SEEDS[seed])
+    h[some] = state
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return h
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +145,7 @@ def _piece_words(buf: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.nda
     after = np.ones(len(buf) + 1, bool)
     after[:-1] = blank | edge[:-1]
     end = np.flatnonzero(~blank & after[1:]) + 1
-    return range_hashes(prefix_hashes(buf, LOWER_BYTES), start, end), start
+    return range_hashes(LOWER[buf], start, end), start
 
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
