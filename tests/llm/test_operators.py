@@ -298,11 +298,56 @@ def plain_repeats(rows: list[Row]) -> Counter:
     return Counter((r.doc_id, *cut[last if r.doc_id is None else r.doc_id, (r.text or "").encode()]) for r in rows)
 
 
-@pytest.mark.parametrize("piece", [None, 700])
-def test_repeated_strings(docs, piece, monkeypatch):
-    if piece:
-        monkeypatch.setattr(suffix, "PIECE", piece)
-    assert Counter(map(tuple, suffix.dedup_table(docs).collect())) == plain_repeats(plain(docs))
+SMALL = suffix.Sizes(piece=700, flush=50, sketch_bits=10, crowd=3, block=40, bucket_bytes=4000, task_bytes=20_000)
+
+
+@pytest.mark.parametrize("sizes", [suffix.Sizes(), SMALL])
+def test_repeated_strings(docs, sizes):
+    assert Counter(map(tuple, suffix.dedup_table(docs, sizes).collect())) == plain_repeats(plain(docs))
+
+
+def test_repeated_strings_around_one_k_gram(spark):
+    """Many different stretches that share a k-gram or more, in a bucket that must be split, and periodic texts."""
+    r, core = random.Random(6), "".join(random.Random(1).choice("abcdefgh") for _ in range(90))
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    sides = [word(70) for _ in range(6)]
+    rows = [(i, r.choice(sides)[r.randrange(50) :] + core + r.choice(sides)[: r.randrange(70)] + word(r.randrange(90))) for i in range(150)]
+    rows += [(500 + i, "ab" * (40 + i * 7)) for i in range(9)] + [(600, "\0" * 300), (601, "x\0" + "\0" * 200), (7, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = plain_repeats(df.collect())
+    for sizes in (suffix.Sizes(), SMALL):
+        assert Counter(map(tuple, suffix.dedup_table(df, sizes).collect())) == want
+
+
+def test_crowded_k_grams_are_split():
+    text = "".join(random.Random(3).choice("abcd") for _ in range(3000)).encode()
+    buf = np.frombuffer(text, np.uint8)
+    found = suffix.sample(buf, np.full(len(buf), len(buf)))
+    for level in range(8):
+        key, begin, runs = suffix.split(buf, *found, np.full(1 << 8, level, np.uint8))
+        assert sorted(suffix.spread(begin, runs)[0]) == list(range(len(buf) - 99))
+        assert runs.max() <= -(-suffix.WINDOW // (1 << level))
+
+
+def test_difference_cover():
+    for period in (7, 32, 64):
+        c = suffix.difference_cover(period)
+        assert {(a - b) % period for a in c for b in c} == set(range(period))
+    assert all(suffix.IN_COVER[(a + suffix.DISTANCE[a, b]) % suffix.PERIOD] and suffix.IN_COVER[(b + suffix.DISTANCE[a, b]) % suffix.PERIOD] for a in range(suffix.PERIOD) for b in range(suffix.PERIOD))
+
+
+def test_suffixes_are_sorted():
+    r = np.random.default_rng(2)
+    for _ in range(100):
+        words = [r.integers(0, 2, r.integers(1, 60)).astype(np.uint8) for _ in range(4)]
+        texts = [np.concatenate([words[r.integers(4)] for _ in range(300)])[: int(n) + 99] for n in r.integers(1, 70, 8)]
+        lens = np.array([len(t) for t in texts])
+        keep = lens >= 100
+        text, lens = np.concatenate([t for t, k in zip(texts, keep, strict=True) if k]), lens[keep]
+        at, _, name = suffix.sort_suffixes(text, r.integers(0, 1000, len(lens)), np.cumsum(lens) - lens, lens - 99)
+        strings = [text[s : s + 100].tobytes() for s in at]
+        assert strings == sorted(strings)
+        assert [a != b for a, b in zip(strings, strings[1:])] == [a != b for a, b in zip(name, name[1:])]  # noqa: B905
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -552,3 +597,77 @@ def test_language_lengths_around_a_slice(real, more, monkeypatch):
     langs, _ = language.predict(model, [text[: 128 + more], "x"])
     assert len(langs) == 2
     assert [len(language.features(np.ones(n, np.uint32), 3)) for n in (0, 1, 2, 3)] == [0, 0, 0, 1]
+
+
+def morse(n: int) -> tuple[str, str]:
+    """The Thue-Morse word and its complement, which polynomials modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = morse(1024)
+    rows = [(1, a), (2, b), (3, a), (4, f"{a} x"), (5, f"{b} x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.component_table(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    got = {r.doc_id: r for r in imatch.fingerprint_table(df).collect()}
+    assert got[1].near_next < 1 and got[1].fingerprint == got[3].fingerprint != got[2].fingerprint
+    assert Counter(map(tuple, suffix.dedup_table(df).collect())) == plain_repeats(df.collect())
+
+
+def test_sets_that_share_an_id_are_told_apart():
+    s, t = np.arange(1, 40, dtype=np.uint64), np.arange(2, 41, dtype=np.uint64)
+    one = jaccard.set_id(s)
+    assert jaccard.node_of(s, frozenset()) == one != jaccard.node_of(t, frozenset())
+    assert jaccard.node_of(s, frozenset([one])) == jaccard.set_id(s, one | 1) != one
+    assert jaccard.set_id(t, one | 1) != jaccard.set_id(s, one | 1)
+
+
+def test_ids_of_sets_are_checked(spark):
+    rows = [(0, 1, 11), (0, 1, 11), (0, 2, 12), (0, 2, 13), (0, None, None)]
+    assert jaccard.clashing(spark.createDataFrame(rows, "kind int, node bigint, second bigint")) == frozenset([2])
+
+
+def best_of(f, n: int = 2) -> float:
+    import time
+
+    found = []
+    for _ in range(n):
+        t = time.time()
+        f()
+        found.append(time.time() - t)
+    return min(found)
+
+
+def test_secrets_of_a_long_text_take_time_in_proportion(spark):
+    text = lambda n: "".join(f"user=bob{i:05} password=hunter{i:05}\n" for i in range(n))
+    few, many = (spark.createDataFrame([(1, text(n))], "doc_id bigint, text string").cache() for n in (8_000, 32_000))
+    assert few.count() == many.count() == 1
+    scan = lambda df: secrets.secret_table(df).collect()
+    scan(few)
+    assert best_of(lambda: scan(many)) < 5 * best_of(lambda: scan(few)) + 1
+    clean = lambda df: secrets.redact(df).collect()
+    assert clean(few)[0].text == "[secret] [secret]\n" * 8_000
+    assert best_of(lambda: clean(many), 1) < 5 * best_of(lambda: clean(few)) + 1
+
+
+def test_redaction_across_pieces_and_with_clashing_columns(spark):
+    """Spans that cross the edges of pieces, one longer than a piece; columns with the names of the operator's own."""
+    r, rows = random.Random(4), []
+    for i in range(30):
+        parts = [r.choice(["x" * r.randrange(900), "password=" + "p" * r.choice([7, 40, 3000]), "é" * r.randrange(300), "user=bob", "AKIA" + "A" * 30, "0" * 30]) for _ in range(r.choice([3, 200]))]
+        rows.append((i, " ".join(parts), f"s{i}", [i], "w", 0.5, i))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, base array<int>, _weak string, _spans double, n_chars bigint")
+    got = {g.doc_id: g for g in secrets.redact(df).collect()}
+    for d, text, *rest in rows:
+        out, at = "", 0
+        for a, _, b in all_spans(text):
+            if a >= at:
+                out += text[at:a] + "[secret]"
+            at = max(at, b)
+        out += text[at:]
+        assert got[d].text == out
+        assert list(got[d])[2:6] == rest[:4] and got[d].n_chars in (len(out), d)
+    found = secrets.scan(df)
+    assert found.columns == [*df.columns, "base_", "spans_"]
+    assert [x.base for x in found.collect()] == [[i] for i in range(30)]
