@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import table
+from tesserae.llm.shared import table, unused
 
 BINS = 256  # of a factor of two in a source's size; a histogram has at most 64 * BINS bins, whatever the number of sources
 STEPS = 50
+CHUNK = 1000  # blocks whose tokens are summed together first
 
 
 def tokens(text: Column) -> Column:
@@ -57,50 +58,74 @@ def source_weights(sized: DataFrame, max_repeats: float | None = 2.0, entropy: f
     return out.select("source", "n_docs", "n_tokens", "exponent", (F.col("w") / F.col("z")).alias("weight"), F.when(F.col("n_tokens") > 0, F.col("w") / size / F.col("rarest")).otherwise(1.0).alias("repeats"))
 
 
+def _draw(seed: int, epoch: Column, key: Column) -> Column:
+    """60 bits that put the rows of an epoch in its order."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), epoch, key)), 1, 15), 16, 10).cast("bigint")
+
+
+def _last(rows: DataFrame, unit: str) -> DataFrame:
+    """Of each source's units, in order, the one in which its quota `left` is met, and what is left of the quota there."""
+    sums = rows.groupBy("source", unit).agg(F.sum("n").alias("n"), F.first("left").alias("left"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumn("left", F.col("left") - before).where("left > 0 and left <= n").select(F.col("source").alias("s"), F.col(unit).alias("u"), F.col("left").alias("l"))
+
+
+def _plan(slim: DataFrame, weights: DataFrame, block_tokens: int, seed: int) -> DataFrame:
+    """For each source: whole epochs, blocks, and where its partial epoch ends (block and draw), null if it has none.
+
+    Sums by chunks of blocks find the chunk at which the quota is met, sums by blocks the block in it, and the rows of
+    that one block the last row: no window holds more than CHUNK blocks or the chunks of one source."""
+    blocks = F.greatest(F.ceil(F.col("all") / block_tokens), F.lit(1)).cast("bigint")
+    plan = table(weights.withColumn("whole", F.floor("times")).withColumn("blocks", blocks).withColumn("left", (F.col("times") - F.col("whole")) * F.col("all")).select(F.col("source").alias("s"), "whole", "blocks", "left"), "plan")
+    rows = slim.join(plan.where("left > 0"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("draw", _draw(seed, F.col("whole") + 1, F.col("key"))).withColumn("block", F.pmod("draw", "blocks")).withColumn("chunk", F.floor(F.col("block") / CHUNK))
+
+    def of(rows: DataFrame, edge: DataFrame, unit: str) -> DataFrame:
+        edge = table(edge, unit)
+        return rows.drop("left").join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col(unit) == F.col("u"))).drop("s", "u").withColumnRenamed("l", "left")
+
+    rows = of(rows, _last(rows, "chunk"), "chunk")
+    rows = of(rows, _last(rows, "block"), "block")
+    ends = _last(rows.withColumn("at", F.struct("block", "draw")), "at").select(F.col("s").alias("e"), F.col("u.block").alias("end_block"), F.col("u.draw").alias("end_draw"))
+    return table(plan.join(ends, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "whole", "blocks", "end_block", "end_draw"), "mixture")
+
+
 def mix(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, block_tokens: int = 200_000, seed: int = 17, keep: list[str] | None = None, slots: bool = True) -> DataFrame:
     """Documents as often as the mixture asks for: `keep` columns with n_tokens, epoch, block and slot (without `slots`: alone).
 
     Budget in tokens; by default just what shows every document at least once, so nothing is lost. Each epoch of a source
     is a permutation by hash, dealt into blocks of about `block_tokens`; a last, partial epoch takes whole blocks in
-    their order and from the block at the edge the first documents up to the quota. Blocks bound every window: a source
-    with a third of all rows is as many blocks as it needs. Ties and repeated rows: by hash of all kept columns, then as
-    they come. Null or empty texts have no tokens and are shown once. Empty tables give empty results.
+    their order and from the block at the edge the first documents up to the quota, so it goes over it by less than one
+    document. A remainder of less than half a token is none. Blocks bound every window but a source's sums by chunk: a
+    source with a third of all rows is as many blocks as it needs. A row's repeats are made side by side.
+
+    Ties and repeated rows: rows alike in doc_id, source and text have one place in the order and are shown together. Null
+    source: a source of its own. Null or empty texts have no tokens and are shown once. Very long texts: whole, in a block
+    of about their size. Empty tables give empty results. Columns of the table stay as they are; a new one whose name is
+    taken has underscores behind it.
     """
-    kept = [c for c in keep or docs.columns if c not in ("n_tokens", "epoch", "block", "slot")]
-    rest = [c for c in kept if c != "text"]
-    slim_columns = list(dict.fromkeys([*rest, "source", "doc_id"]))
-    counted = docs.select(*dict.fromkeys([*kept, *slim_columns]), *([] if "text" in kept else ["text"])).withColumn("n_tokens", tokens(F.col("text")))
-    slim = table(counted.select(*slim_columns, "n_tokens"), "sized")
-    weights = source_weights(slim.select("source", "n_tokens"), max_repeats, entropy)
-    if budget is not None:
-        weights = weights.withColumn("repeats", F.when(F.col("n_tokens") > 0, F.lit(float(budget)) * F.col("weight") / F.col("n_tokens")).otherwise(1.0))
-    weights = table(weights.select(F.col("source").alias("_s"), F.col("n_tokens").alias("_all"), F.round("repeats", 9).alias("_times")), "weights")
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        """A row for each epoch that is begun, with its block."""
-        planned = rows.join(weights, rows["source"].eqNullSafe(weights["_s"])).drop("_s")
-        shown = planned.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil("_times"), F.lit(1)).cast("int")))).where("epoch <= ceil(_times)")
-        draw = F.xxhash64(F.lit(seed), "epoch", *slim_columns)
-        blocks = F.greatest(F.ceil(F.col("_all") / block_tokens), F.lit(1)).cast("bigint")
-        return shown.withColumn("_draw", draw).withColumn("block", F.pmod("_draw", blocks))
-
-    whole = F.col("epoch") <= F.floor("_times")
-    sums = dealt(slim).where(~whole).groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("_sum"), F.first("_all").alias("_all"), F.first("_times").alias("_times"))
-    before = F.sum("_sum").over(Window.partitionBy("source", "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    left = F.col("_all") * (F.col("_times") - F.floor("_times")) - F.coalesce(before, F.lit(0))
-    quota = sums.withColumn("_left", left).where("_left > 0")
-    quota = table(quota.select(F.col("source").alias("_qs"), F.col("epoch").alias("_e"), F.col("block").alias("_b"), "_sum", "_left"), "quota")
-    rows = dealt(slim if kept == rest else counted)
-    partial = rows.where(~whole)
-    on = partial["source"].eqNullSafe(quota["_qs"]) & (partial["epoch"] == quota["_e"]) & (partial["block"] == quota["_b"])
-    last = partial.join(quota, on)
-    in_block = Window.partitionBy("source", "epoch", "block").orderBy("_draw", "doc_id")
-    edge = last.where("_left < _sum").withColumn("_seen", F.coalesce(F.sum("n_tokens").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_seen < _left")
-    names = [*kept, *(["source"] if "source" not in kept else []), "n_tokens", "epoch", "block", "_draw", *(["doc_id"] if "doc_id" not in kept else [])]
-    out = rows.where(whole).select(names).unionByName(last.where("_left >= _sum").select(names)).unionByName(edge.select(names))
+    kept = keep or docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    key = F.md5(F.concat_ws(":", "doc_id", "source", F.md5(F.col("text").cast("binary"))))
+    sized = docs.select(row, F.col("source"), tokens(F.col("text")).alias("n"), key.alias("key"))
+    slim = table(sized.select("source", "n", "key"), "sized")
+    weights = source_weights(slim.select("source", F.col("n").alias("n_tokens")), max_repeats, entropy)
+    times = F.col("repeats") if budget is None else F.when(F.col("n_tokens") > 0, F.lit(float(budget)) * F.col("weight") / F.col("n_tokens")).otherwise(1.0)
+    near = F.abs(times - F.round(times)) * F.col("n_tokens") < 0.5
+    weights = weights.select("source", F.col("n_tokens").alias("all"), F.when(near, F.round(times)).otherwise(times).alias("times"))
+    plan = _plan(slim, weights, block_tokens, seed)
+    placed = lambda epoch: F.pmod(_draw(seed, epoch, F.col("key")), F.col("blocks"))
+    last = F.col("whole") + 1
+    more = (placed(last) < F.col("end_block")) | ((placed(last) == F.col("end_block")) & (_draw(seed, last, F.col("key")) <= F.col("end_draw")))
+    epochs = F.col("whole") + F.when(more, 1).otherwise(0)
+    shown = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("epochs", epochs).where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
     if not slots:
-        return out.select(*kept)
-    return out.withColumn("slot", F.row_number().over(in_block).cast("bigint")).select(*kept, "n_tokens", "epoch", "block", "slot")
+        return shown.select("row.*")
+    in_block = Window.partitionBy("source", "epoch", "block").orderBy("draw", "key")
+    shown = shown.withColumn("draw", _draw(seed, F.col("epoch"), F.col("key"))).withColumn("block", F.pmod("draw", "blocks"))
+    shown = shown.withColumn("slot", F.row_number().over(in_block).cast("bigint"))
+    names = {c: unused(docs.select(*(f"`{k}`" for k in kept)), c) for c in ("n_tokens", "epoch", "block", "slot")}
+    return shown.select("row.*", *(F.col("n" if c == "n_tokens" else c).alias(as_) for c, as_ in names.items()))
 
 
 def mixture_table(docs: DataFrame) -> DataFrame:

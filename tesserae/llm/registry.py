@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import bpe, imatch, jaccard, language, matroska, mixing, secrets, sharding, suffix, warc
+from tesserae.llm.sql import ORACLES
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,4 +32,4 @@ QUERIES = {
     "pipeline": _pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
