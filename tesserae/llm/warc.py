@@ -16,7 +16,7 @@ CHUNK = 64 << 10
 LEAST = 100  # bytes of a payload that a revisit can refer to
 SMALL = 50_000  # repeated payloads up to which their table is broadcast (under 10 MB)
 DATE = "2024-01-01T00:00:00Z"
-ARCHIVE = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("data", pa.binary())])
+ARCHIVE = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("running", pa.string()), ("data", pa.binary())])
 FOUND = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("digest_ok", pa.bool_())])
 
 
@@ -33,9 +33,10 @@ def header(record_id: str, uri: str | None, digest: str, size: int, refers_to: s
     return "\r\n".join(lines).encode() + http
 
 
-def chunks(head: bytes, payload: memoryview, size: int) -> Iterator[bytes]:
-    """A record's bytes in pieces of `size`; the payload is sliced, not copied whole."""
-    total, at = len(head) + len(payload) + 4, 0
+def chunks(head: bytes, payload: memoryview, size: int) -> Iterator[tuple[bytes, str]]:
+    """A record's bytes in pieces of `size`, each with the digest of the payload up to its end, which runs along; the
+    payload is sliced, not copied whole."""
+    total, at, sha = len(head) + len(payload) + 4, 0, hashlib.sha256()
     while at < total:
         stop, piece = min(at + size, total), bytearray()
         if at < len(head):
@@ -43,9 +44,10 @@ def chunks(head: bytes, payload: memoryview, size: int) -> Iterator[bytes]:
         a, b = max(at - len(head), 0), min(stop - len(head), len(payload))
         if b > a:
             piece += payload[a:b]
+            sha.update(payload[a:b])
         if stop > (e := len(head) + len(payload)):
             piece += b"\r\n\r\n"[max(at - e, 0) : stop - e]
-        yield bytes(piece)
+        yield bytes(piece), sha.copy().hexdigest()
         at = stop
 
 
@@ -55,7 +57,13 @@ class Reader:
     def __init__(self) -> None:
         self.head, self.body, self.left, self.sha, self.size = b"", None, 0, hashlib.sha256(), 0
 
-    def feed(self, data: memoryview) -> None:
+    def feed(self, data: memoryview, running: str) -> None:
+        """The next chunk and the digest that the payload should have by its end."""
+        self._take(data)
+        if self.sha.copy().hexdigest() != running:
+            raise ValueError(f"a chunk is damaged before byte {self.size} of a payload")
+
+    def _take(self, data: memoryview) -> None:
         if self.body is None:
             self.head += data
             first = self.head.find(b"\r\n\r\n")
@@ -85,7 +93,12 @@ class Reader:
 
 
 def archive(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The record table of pages (page_id, url, html), written to the shared folder.
+    """The record table of pages (page_id, url, html), written to the shared folder: a row for each chunk of a record,
+    with the digest of its payload so far.
+
+    Very long payloads become as many chunks as they need. Other columns of the table are not read, whatever their names;
+    an empty table gives an empty archive. A record is named by its page and its place in the table, which is the same
+    however often the table's files are read; a revisit names the record that it refers to.
 
     Of equal payloads of LEAST bytes or more the smallest page_id is the response, others revisit it; rows that share
     that page_id are all responses. Null html: an empty payload; null url: no target; null page_id: last in
@@ -94,8 +107,9 @@ def archive(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html")).withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2("html", 256))
-    facts = rows.select("page_id", "digest", F.octet_length("html").alias("n")).where(f"n >= {LEAST}")
-    firsts = facts.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null").select("digest", "first")
+    facts = rows.select("page_id", "row", "digest", F.octet_length("html").alias("n")).where(f"n >= {LEAST}")
+    named = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("named")
+    firsts = facts.groupBy("digest").agg(named, F.count(F.lit(1)).alias("c")).where("c > 1 and named is not null").select("digest", F.col("named.page_id").alias("first"), F.col("named.row").alias("first_row"))
     firsts = table(firsts, "repeats")
     small = firsts.limit(SMALL + 1).count() <= SMALL
     joined = rows.join(F.broadcast(firsts) if small else firsts, "digest", "left").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
@@ -104,14 +118,14 @@ def archive(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
         for batch in it:
             out: list[tuple] = []
             held = 0
-            for page, url, row, digest, first, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "row", "digest", "first")), batch.column("html"), strict=True):
+            for page, url, row, digest, first, first_row, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "row", "digest", "first", "first_row")), batch.column("html"), strict=True):
                 payload = memoryview(text.as_buffer())
                 rid = f"page:{'' if page is None else page}:{row}"
-                head = header(rid, url, digest, len(payload), None if first is None else f"page:{first}:")
+                head = header(rid, url, digest, len(payload), None if first is None else f"page:{first}:{first_row}")
                 body = memoryview(b"") if first is not None else payload
                 n = max(1, -(-(len(head) + len(body) + 4) // chunk))
-                for k, piece in enumerate(chunks(head, body, chunk)):
-                    out.append((rid, page, k, n, piece))
+                for k, (piece, running) in enumerate(chunks(head, body, chunk)):
+                    out.append((rid, page, k, n, running, piece))
                     held += len(piece)
                     if held > 4 << 20:
                         yield _batch(out, ARCHIVE)
@@ -119,7 +133,7 @@ def archive(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
             if out:
                 yield _batch(out, ARCHIVE)
 
-    made = joined.mapInArrow(write, "record_id string, page_id bigint, chunk int, chunks int, data binary")
+    made = joined.mapInArrow(write, "record_id string, page_id bigint, chunk int, chunks int, running string, data binary")
     return table(made, "warc")
 
 
@@ -134,12 +148,12 @@ def read(records: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, now, done = None, None, []
         for batch in it:
-            for rid, page, k, n, data in zip(*(batch.column(c).to_pylist() for c in ("record_id", "page_id", "chunk", "chunks")), batch.column("data"), strict=True):
+            for rid, page, k, n, running, data in zip(*(batch.column(c).to_pylist() for c in ("record_id", "page_id", "chunk", "chunks", "running")), batch.column("data"), strict=True):
                 if k == 0:
                     reader, now = Reader(), rid
                 elif rid != now:
                     raise ValueError(f"{rid} begins with chunk {k}")
-                reader.feed(memoryview(data.as_buffer()))
+                reader.feed(memoryview(data.as_buffer()), running)
                 if k == n - 1:
                     done.append(reader.row(page))
             if done:
