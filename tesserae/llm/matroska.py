@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -100,6 +101,7 @@ class Media:
     clusters: list[int] = field(default_factory=list)
     tracks: dict[int, dict] = field(default_factory=dict)
     duration: float = 0.0
+    scale: int = 1_000_000  # nanoseconds of a tick
 
 
 def read_vint(data: bytes, at: int, raw: bool = False) -> tuple[int, int, bool]:
@@ -166,27 +168,31 @@ def unlace(data: bytes, at: int, stop: int, mode: int) -> list[tuple[int, int]]:
 
 
 def parse(data: bytes) -> Media:
+    """Packets, cues, clusters and tracks. Times are in milliseconds, whatever the scale of the file's ticks."""
     import struct
 
     m, segment = Media(), 0
     number = lambda a, b: int.from_bytes(data[a:b], "big")
-    rate = float(SAMPLE_RATE)
+    rate, ticks = float(SAMPLE_RATE), 0.0
 
     def block(a: int, b: int, base: int, simple: bool) -> None:
         track, at, _ = read_vint(data, a)
         rel = int.from_bytes(data[at : at + 2], "big", signed=True)
         flags = data[at + 2]
-        mode, time = flags >> 1 & 3, base + rel
+        mode, time = flags >> 1 & 3, (base + rel) * m.scale / 1e6
         step = 1000 / (m.tracks.get(track, {}).get("rate") or rate)
         for s, e in unlace(data, at + 3, b, mode):
             m.packets.append(Packet(track, round(time), s, e, mode, simple and bool(flags & 0x80)))
             time += (e - s) * step
 
     def walk(at: int, stop: int, own: dict) -> None:
-        nonlocal segment
+        nonlocal segment, ticks
         for i, head, a, b in elements(data, at, stop):
             if i == SEGMENT:
                 segment = a
+                for j, _, c, d in elements(data, a, b):  # what all times rest on, wherever it stands
+                    if j in (INFO, TRACKS):
+                        walk(c, d, {})
             if i == CLUSTER:
                 m.clusters.append(head - segment)
                 walk(a, b, {"time": 0})
@@ -196,13 +202,15 @@ def parse(data: bytes) -> Media:
                 if i == ENTRY:
                     m.tracks[below.get("number", 0)] = below
                 elif i == POINT:
-                    m.cues.append((below.get("time", 0), below.get("track", 0), below.get("cluster", 0)))
+                    m.cues.append((round(below.get("time", 0) * m.scale / 1e6), below.get("track", 0), below.get("cluster", 0)))
             elif i in (TIME, CUE_TIME):
                 own["time"] = number(a, b)
             elif i == SIMPLE_BLOCK or i == BLOCK:
                 block(a, b, own.get("time", 0), i == SIMPLE_BLOCK)
             elif i in (NUMBER, CUE_TRACK):
                 own["number" if i == NUMBER else "track"] = number(a, b)
+            elif i == SCALE:
+                m.scale = number(a, b)
             elif i == CUE_CLUSTER:
                 own["cluster"] = number(a, b)
             elif i == CODEC:
@@ -212,9 +220,10 @@ def parse(data: bytes) -> Media:
                 if i == RATE:
                     own["rate"] = x
                 else:
-                    m.duration = x
+                    ticks = x
 
     walk(0, len(data), {})
+    m.duration = ticks * m.scale / 1e6
     return m
 
 
@@ -226,18 +235,26 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 def features(data: bytes, m: Media) -> str:
     laces = Counter(p.lacing for p in m.packets)
-    good = sum(c in set(m.clusters) for _, _, c in m.cues)
+    clusters = set(m.clusters)
+    good = sum(c in clusters for _, _, c in m.cues)
     lacing = "/".join(f"{LACE_NAMES[k]}:{laces[k]}" for k in sorted(laces))
     total = sum(p.stop - p.start for p in m.packets)
-    mean = sum(sum(data[p.start : p.stop]) for p in m.packets) / max(1, total)
+    own = np.frombuffer(data, np.uint8)
+    mean = sum(int(own[p.start : p.stop].sum(dtype=np.int64)) for p in m.packets) / max(1, total)
     return f"tracks={len(m.tracks)};packets={len(m.packets)};clusters={len(m.clusters)};cues={good};ms={m.duration:.3f};lacing={lacing};mean={mean:.6f}"
 
 
 def packet_table(media: DataFrame, key: str, data: str) -> DataFrame:
-    """A row for each packet of stored media: key, packet, track, time_ms, start, stop, lacing, keyframe. Null media: none."""
+    """A row for each packet of stored media: key, packet, track, time_ms, start, stop, lacing, keyframe. Null media: none.
+
+    Empty media have no packets; damaged ones raise ValueError. Repeated rows: each for itself. Very long media: one at a
+    time, whole. Empty tables: empty results. A packet column whose name the key has gets an underscore."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([media.schema[key], *T.StructType.fromDDL("packet int, track int, time_ms bigint, start bigint, stop bigint, lacing string, keyframe boolean")])
+    taken = key.lower()
+    ddl = "packet int, track int, time_ms bigint, start bigint, stop bigint, lacing string, keyframe boolean"
+    fields = [T.StructField(f.name + "_" * (f.name == taken), f.dataType) for f in T.StructType.fromDDL(ddl)]
+    schema = T.StructType([media.schema[key], *fields])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -251,7 +268,9 @@ def packet_table(media: DataFrame, key: str, data: str) -> DataFrame:
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """The digest of op6. Null or empty text: 64 zero bytes. One text at a time is in memory, with its stored form."""
+    """The digest of op6. Null or empty text: 64 zero bytes. Very long texts: one at a time is in memory, with its stored
+    form. Ties and repeated rows: each for itself; equal texts give equal values. Empty tables: empty results. Other
+    columns of the table are not read, whatever their names."""
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     from pyspark.sql import types as T
