@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tesserae.llm.shared import unused
+
 CACHE = 200_000  # words in each of the two generations that are kept
 #: Fixed value: the published pattern that cuts a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,11 +34,13 @@ def byte_letters() -> dict[int, str]:
 
 
 class Tokenizer:
-    """Encodes and decodes with the vocabulary and merges of a tokenizer file."""
+    """Encodes and decodes with the vocabulary and merges of a tokenizer file, given by path or as its bytes."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: str | bytes) -> None:
+        if isinstance(file, str):
+            with open(file, "rb") as f:
+                file = f.read()
+        spec = json.loads(file)
         vocab: dict[str, int] = spec["model"]["vocab"]
         letters = byte_letters()
         of_letter = {c: b for b, c in letters.items()}
@@ -134,23 +138,21 @@ def _local(path: str, data: object) -> Tokenizer:
     if path not in _LOADED:
         if os.path.exists(path):
             return tokenizer(path)
-        import tempfile
-
-        with tempfile.NamedTemporaryFile("wb", suffix=".json") as f:
-            f.write(data.value)
-            f.flush()
-            _LOADED[path] = Tokenizer(f.name)
+        _LOADED[path] = Tokenizer(data.value)
     return _LOADED[path]
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (all by default) with ids (array of int). Null text: no tokens. One row in, one row out."""
-    docs = docs.drop("ids")
+    """`keep` columns (all by default) with ids (array of int). Null or empty text: no tokens. One row in, one row out.
+
+    Ties and repeated rows: each for itself, though a text is encoded once where it stands in neighbouring rows. Very long
+    texts: whole, word by word. Empty tables: empty results. Columns of the table stay as they are; a new one whose name
+    is taken has underscores behind it."""
     return _run(docs, path, keep, "ids array<int>", lambda t, ids: (ids,), [pa.list_(pa.int32())])
 
 
 def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The digest of op4: counts and checksums of the ids and of the text decoded from them."""
+    """The digest of op4: counts and checksums of the ids and of the text decoded from them. Odd rows as in `encode`."""
 
     def digest(t: Tokenizer, ids: list[int]) -> tuple:
         joined = ",".join(map(t.decimal.__getitem__, ids))
@@ -166,16 +168,21 @@ def _run(docs: DataFrame, path: str | None, keep: list[str] | None, ddl: str, ma
     path = path or default_path()
     kept = list(keep or docs.columns)
     data = vocabulary(docs.sparkSession, path)
-    new = T.StructType.fromDDL(ddl)
+    new = T.StructType([T.StructField(unused(docs.select(*(f"`{c}`" for c in kept)), f.name), f.dataType) for f in T.StructType.fromDDL(ddl)])
     schema = T.StructType([*(docs.schema[c] for c in kept), *new])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _local(path, data)
+        text, found = "", make(t, [])
         for batch in it:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [make(t, t.ids(x.as_py() or "")) for x in part.column("text")]
+                rows = []
+                for x in part.column("text"):
+                    if (own := x.as_py() or "") != text:
+                        text, found = own, make(t, t.ids(own))
+                    rows.append(found)
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *cols], names=[*kept, *new.names])
 
-    return docs.select(*kept, *([] if "text" in kept else ["text"])).mapInArrow(run, schema)
+    return docs.select(*(f"`{c}`" for c in kept), *([] if "text" in kept else ["text"])).mapInArrow(run, schema)
