@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.shared import unused
+
 BITS, ORDERS = 16, (1, 2, 3)
 SCALE = 1 << 12
 _LETTER = regex.compile(r"\p{L}")
@@ -63,11 +65,14 @@ def pieces(cp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield a, cp[a : a + SLICE_CHARS + 2]
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and posterior of each text; `und` and 0 without a letter. Sums are of integers: equal texts, equal results."""
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language, posterior and evidence of each text; `und`, 0 and 0 without a letter. Sums are of integers: equal texts,
+    equal results. Of equally likely languages the first by name is taken.
+
+    Evidence: by how much an n-gram is more likely in that language than by chance, in nats, on average."""
     if not model.languages:
-        return ["und"] * len(texts), [0.0] * len(texts)
-    langs, scores = [], []
+        return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    langs, scores, evidence = [], [], []
     for i, j, cp, starts in batches(texts):
         total = np.zeros((j - i, len(model.languages)), np.int64) + model.prior
         for a, part in pieces(cp):
@@ -87,7 +92,11 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
             known = t is not None and _LETTER.search(t) is not None
             langs.append(model.languages[best[k]] if known else "und")
             scores.append(float(post[k, best[k]] / post[k].sum()) if known else 0.0)
-    return langs, scores
+            size = int(starts[k + 1] - starts[k] if k + 1 < j - i else len(cp) - 2 - starts[k]) - 2
+            grams = sum(max(0, size - order + 1) for order in ORDERS)
+            own = (total[k, best[k]] - model.prior[best[k]]) / SCALE
+            evidence.append(float(own / grams + BITS * np.log(2)) if known and grams else 0.0)
+    return langs, scores, evidence
 
 
 def held_out(doc_id: Column) -> Column:
@@ -98,7 +107,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = 1000, smoothing: float = 0.1) -> Model:
     """Counts n-grams of whole texts, of about `per_language` documents of each language, however many there are.
 
-    The sample is by a hash of doc_id and is the only bounded part; the test fold and rows without text or lang are left out.
+    The sample is by a hash of doc_id and is the only bounded part; the test fold and rows without text or lang are left
+    out. Ids that repeat are drawn together. Without any row to learn from, or an empty table, the model has no languages.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -144,31 +154,33 @@ def fit(docs: DataFrame, per_language: int = 1000, smoothing: float = 0.1) -> Mo
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (all by default) with lang_pred and score. The model is broadcast: its size is fixed by its parameters.
+    """`keep` columns (all by default) with lang_pred, score and evidence. The model is broadcast: its size is that of
+    2^BITS numbers for each language.
 
-    Null or empty text, or one without letters: `und`, 0. Repeated rows: each for itself. Very long texts go in pieces.
-    Columns named lang_pred or score are replaced.
+    Null or empty text, or one without letters, or a model without languages: `und`, 0, 0. Ties: the first language by
+    name. Repeated rows: each for itself. Very long texts go in pieces. Empty tables: empty results. Columns of the table
+    stay as they are; a new one whose name is taken has underscores behind it.
     """
-    docs = docs.drop("lang_pred", "score")
     kept = [c for c in keep or docs.columns if c in docs.columns]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql import types as T
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    new = [unused(docs.select(*(f"`{c}`" for c in kept)), c) for c in ("lang_pred", "score", "evidence")]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, T.StringType() if k == 0 else T.DoubleType()) for k, c in enumerate(new))])
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                langs, scores = predict(sent.value, part.column("text").to_pylist())
-                cols = [part.column(c) for c in kept] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*kept, "lang_pred", "score"])
+                langs, *numbers = predict(sent.value, part.column("text").to_pylist())
+                cols = [part.column(c) for c in kept] + [pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*kept, *new])
 
     needed = [*kept, *([] if "text" in kept else ["text"])]
-    return docs.select(*needed).mapInArrow(score, schema)
+    return docs.select(*(f"`{c}`" for c in needed)).mapInArrow(score, schema)
 
 
 def language_table(docs: DataFrame, per_language: int = 1000) -> DataFrame:
-    """The digest of op7."""
+    """The digest of op7. Odd rows as in `fit` and `identify`."""
     slim = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return identify(slim, fit(docs, per_language), ["doc_id", "held_out"])
