@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import table
+from tesserae.llm.shared import needing, table
 
 ROUNDS = 60
 FEW = 200_000  # links that one task resolves by itself (under 50 MB); beyond, rounds of stars do it in parallel
@@ -54,8 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, seen = table(forest(edges).distinct(), "stars"), None
     if now.limit(FEW + 1).count() <= FEW:
-        one = table(forest(now.coalesce(1), FEW + 1), "stars")
-        return one.select(F.col("a").alias("node"), F.col("b").alias("label")).union(one.select("b", "b").distinct())
+        one = table(needing(forest(now.coalesce(1), FEW + 1), now), "stars")
+        return table(needing(one.select(F.col("a").alias("node"), F.col("b").alias("label")).union(one.select("b", "b").distinct()), one), "labels")
     for _ in range(ROUNDS):
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -63,16 +62,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         hung = large.join(low, F.col("a") == F.col("u"))
         small = hung.select("a", F.col("m").alias("b")).union(hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = table(small.distinct(), "stars")
+        now = table(needing(small.distinct(), now), "stars")
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if mark == seen:
             break
         seen = mark
     else:
         raise RuntimeError("components did not settle")
-    return table(now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct()), "labels")
-
-
-def rank_order(*keys: np.ndarray) -> np.ndarray:
-    """Order by the first key, then the second, and so on."""
-    return np.lexsort(keys[::-1])
+    return table(needing(now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct()), now), "labels")

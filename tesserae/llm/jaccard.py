@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.graph import components
-from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, limited, mix, pack, partitions, slices, table, text_bytes, to_buckets, unpack, unused, word_hashes
+from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, limited, mix, needing, pack, partitions, release, slices, table, text_bytes, to_buckets, unpack, unused, word_hashes
 
 WORDS = 5
 NUM, DEN = 75, 100  # the least likeness
@@ -229,7 +229,7 @@ def sets(docs: DataFrame, small: DataFrame, nodes: DataFrame, tokens: bool, clas
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", what])
 
     made = rows.mapInArrow(run, f"node bigint, n bigint, {what} binary")
-    return table(made.join(limited(nodes), "node", "left_semi").dropDuplicates(["node"]), what)
+    return table(needing(made.join(limited(nodes), "node", "left_semi").dropDuplicates(["node"]), ids, nodes), what)
 
 
 def width(n: int) -> int:
@@ -296,7 +296,8 @@ def verify(pairs: DataFrame, docs: DataFrame, small: DataFrame, clashes: frozens
         return linked(int((y[at] == x).sum()), m + n)
 
     nodes = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    return _filtered(pairs, sets(docs, small, nodes, True, clashes), "tokens", test)
+    tokens = sets(docs, small, nodes, True, clashes)
+    return needing(_filtered(pairs, tokens, "tokens", test), tokens)
 
 
 def band(n: Column) -> Column:
@@ -374,7 +375,7 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
         if len(members) > 1:
             yield _pairs_of(pairs(members, now))
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return needing(rows.mapInArrow(run, "a bigint, b bigint").distinct(), counts)
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
@@ -390,16 +391,20 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
     best = best.groupBy("node").agg(F.max_by("prev", F.struct("w", "prev")).alias("prev"))
     first = table(plausible(best.select(F.col("prev").alias("a"), F.col("node").alias("b")), bits), "first")
     links = table(verify(first, docs, small, clashes), "links")
+    release(first)
     labels = components(links)
     # Other members of a group are compared unless they are together already: in MERGING rounds each set with the
     # likeliest in each of its groups; in the last round, all pairs that are left.
     for k in range(MERGING + 1):
         members = met.select("g", "node", "n").join(labels, "node", "left")
         members = table(members.select("g", "node", "n", F.coalesce("label", "node").alias("label")), "members")
-        spread = members.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
-        rest = table(tile_pairs(members.join(table(spread, "open"), "g", "left_semi"), bits, k < MERGING), "pairs")
-        links = table(links.union(verify(rest, docs, small, clashes)), "links")
+        spread = table(members.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g"), "open")
+        rest = table(tile_pairs(members.join(spread, "g", "left_semi"), bits, k < MERGING), "pairs")
+        more = verify(rest, docs, small, clashes)
+        links = table(needing(links.union(more), links, *more._needs), "links")
+        release(members, spread, rest, labels)
         labels = components(links)
+    release(links, bits, met)
     return small, labels, clashes
 
 
@@ -415,7 +420,8 @@ def counted_links(docs: DataFrame, small: DataFrame, labels: DataFrame, clashes:
     rows = ids.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_TOKENS)).cast("int")
     tiles = rows.groupBy("label", "tile").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m"), F.min("band").alias("low")).where("m > 1 and low = tile")
-    rows = rows.join(table(tiles.select("label", "tile", "blocks"), "tiles"), ["label", "tile"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiles = table(tiles.select("label", "tile", "blocks"), "tiles")
+    rows = rows.join(tiles, ["label", "tile"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     key = ["label", "tile", "i", "j"]
     rows = rows.join(tokens.select("node", "tokens"), "node").select(*key, "node", "n", "c", "band", "mine", "tokens").repartition(partitions(docs.sparkSession), *key).sortWithinPartitions(*key)
@@ -462,7 +468,7 @@ def counted_links(docs: DataFrame, small: DataFrame, labels: DataFrame, clashes:
         if len(members) > 1:
             yield links(members, now)
 
-    return table(rows.mapInArrow(run, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")), "counted")
+    return table(needing(rows.mapInArrow(run, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")), tokens, ids, tiles), "counted")
 
 
 def component_ids(small: DataFrame, labels: DataFrame) -> DataFrame:
@@ -471,7 +477,7 @@ def component_ids(small: DataFrame, labels: DataFrame) -> DataFrame:
     named = node.join(labels, "node", "left").where("c > 1 or label is not null").select("node", "least", "c", F.coalesce("label", "node").alias("label"))
     named = table(named, "named")
     least = table(named.groupBy("label").agg(F.min("least").alias("component")), "least")
-    return table(named.join(least, "label").select("node", "c", "component"), "components")
+    return table(needing(named.join(least, "label").select("node", "c", "component"), named, least), "components")
 
 
 def component_table(docs: DataFrame) -> DataFrame:
@@ -490,8 +496,9 @@ def link_table(docs: DataFrame) -> DataFrame:
     """The digest of op9: as component_table, and n_links, the number of other rows that each row is linked to."""
     small, labels, clashes = link(docs)
     links = F.col("c") - 1 + F.coalesce("links", F.lit(0))
-    ids = component_ids(small, labels).join(counted_links(docs, small, labels, clashes), "node", "left").select("node", "component", links.alias("n_links"))
-    found = small.join(limited(table(ids, "links")), "node", "left")
+    ids, counted = component_ids(small, labels), counted_links(docs, small, labels, clashes)
+    ids = table(needing(ids.join(counted, "node", "left").select("node", "component", links.alias("n_links")), ids, counted, labels), "links")
+    found = small.join(limited(ids), "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -510,7 +517,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = table(named.join(limited(first), "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("same") == F.col("first.same"))), "dedup")
     names = [F.col("doc_id").alias(_id), F.col("same").alias(_as)]
     gone = table(found.where("not stays").select(*names).distinct(), "gone")
+    release(first, labels)
     twice = table(found.where("stays").groupBy(*names).count().where("count > 1").select(_id, _as), "twice")
+    release(found)
     rows = docs.withColumn(_same, F.xxhash64("text"))
     alike = F.col("doc_id").cast("bigint").eqNullSafe(F.col(_id)) & (F.col(_same) == F.col(_as))
     left = rows.join(limited(gone), alike, "left_anti")

@@ -34,10 +34,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
+    out._written, out._needs = path, []
+    release(*getattr(df, "_needs", []))
     return out
 
 
+def needing(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, whose rows come from tables that nothing else reads: they are deleted once `table` has written df."""
+    df._needs = list(tables)
+    return df
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of `table` that no later step reads."""
     for t in tables:
