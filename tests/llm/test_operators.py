@@ -272,7 +272,7 @@ def test_language(docs):
 def test_language_sums_like_a_plain_bayes(real):
     model = language.fit(real)
     texts = [r.text for r in real.select("text").limit(30).collect()] + ["a", "x" * 600_000, "é"]
-    langs, _ = language.predict(model, texts)
+    langs, *_ = language.predict(model, texts)
     for t, lang in zip(texts, langs, strict=True):
         cp = np.frombuffer((t.lower() + "\0\0").encode("utf-32-le"), np.uint32)
         total = model.prior + sum(model.matrix[language.features(cp, o)].sum(axis=0, dtype=np.int64) for o in language.ORDERS)
@@ -481,7 +481,7 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     import corpus_pipeline as p
 
     real = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(10_000, "12 34", "en", "src1", 5), (10_001, None, "en", "src1", None)], real.schema)
+    extra = spark.createDataFrame([(10_000, "12 34", "en", "src1", 5), (10_001, None, "en", "src1", None), (10_002, "\u16a0\u2d30\u3131 \u1780\ua015 \u0d05\u0f40\u10d0", None, "src1", 11)], real.schema)
     real.union(extra).write.parquet(str(tmp_path / "documents.parquet"))
     rows = {r.doc_id: r for r in real.collect()}
     components = {d: c for d, _, c in plain_components(list(rows.values()))}
@@ -594,7 +594,7 @@ def test_language_lengths_around_a_slice(real, more, monkeypatch):
     monkeypatch.setattr(language, "SLICE_CHARS", 64)
     text = "ab" * 96
     model = language.fit(real.limit(20))
-    langs, _ = language.predict(model, [text[: 128 + more], "x"])
+    langs, *_ = language.predict(model, [text[: 128 + more], "x"])
     assert len(langs) == 2
     assert [len(language.features(np.ones(n, np.uint32), 3)) for n in (0, 1, 2, 3)] == [0, 0, 0, 1]
 
@@ -671,3 +671,281 @@ def test_redaction_across_pieces_and_with_clashing_columns(spark):
     found = secrets.scan(df)
     assert found.columns == [*df.columns, "base_", "spans_"]
     assert [x.base for x in found.collect()] == [[i] for i in range(30)]
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(h: int) -> int:
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & M64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def plain_word(w: bytes) -> int:
+    """The hash of a lower-cased word, eight bytes at a time; of a long one, by a cryptographic hash."""
+    if len(w) > 256:
+        return int.from_bytes(hashlib.blake2b(w, digest_size=8, salt=b"\0").digest(), "little")
+    h = plain_mix((len(w) * 0x9E3779B97F4A7C15 + 1) & M64)
+    for k in range(0, len(w), 8):
+        h = plain_mix(((h ^ int.from_bytes(w[k : k + 8], "little")) + 0x9E3779B97F4A7C15) & M64)
+    return h
+
+
+def plain_terms(text: str) -> list[int]:
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    return sorted({plain_word(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", lowered)})
+
+
+def in_subset(t: int, s: int, first: int) -> bool:
+    rate = first + s * imatch.LEVELS // imatch.SUBSETS
+    return plain_mix((t + (s + 1) * 0x9E3779B97F4A7C15) & M64) >> (64 - rate) == 0
+
+
+def plain_fingerprint(text: str, lexicon: set[int]) -> str:
+    terms = plain_terms(text)
+    known = [t for t in terms if t in lexicon]
+    enough = max(len(terms) * imatch.THIN, imatch.FEW) / imatch.SUBSETS
+    chosen = []
+    for s in range(imatch.SUBSETS):
+        thin = len(known) < enough * (1 + s * 37 % imatch.SUBSETS)
+        chosen.append([t for t in (terms if thin else known) if in_subset(t, s, 1 if thin else 4)])
+    if not any(chosen):
+        chosen = [terms] * imatch.SUBSETS
+    out = ""
+    for s, own in enumerate(chosen):
+        total = sum(plain_mix(t ^ plain_mix(k + s + 1)) for k, t in enumerate(own)) & M64
+        out += f"{(plain_mix(total) >> 32 | 1) if own else 0:08x}"
+    return out
+
+
+def test_imatch_fingerprints_against_a_plain_version(docs):
+    rows = sorted(plain(docs), key=lambda r: (key(r.doc_id), r.text or ""))
+    got = imatch.fingerprint_table(docs).collect()
+    texts = {r.text or "" for r in rows}
+    df = Counter(t for x in texts for t in plain_terms(x))
+    lexicon = {t for t, n in df.items() if max(imatch.LOW * len(texts), 1) <= n <= max(imatch.HIGH * len(texts), 1)}
+    of_id: dict = {}
+    for r in rows:
+        of_id.setdefault(r.doc_id, set()).add(r.text or "")
+    prints = {x: plain_fingerprint(x, lexicon) for x in texts}
+    assert all(g.fingerprint in {prints[x] for x in of_id[g.doc_id]} for g in got)
+    alike = lambda a, b: (lambda p: sum(x == y for x, y in p) / len(p) if p else 1.0)([(a[i : i + 8], b[i : i + 8]) for i in range(0, len(a), 8) if a[i : i + 8] != "0" * 8 or b[i : i + 8] != "0" * 8])
+    for g in got:
+        assert g.near_edited == pytest.approx(alike(g.fingerprint, g.edited_fingerprint))
+    if rows and len(of_id) == len(rows):
+        for a, b in zip(rows, rows[1:] + rows[:1], strict=True):
+            g = next(x for x in got if x.doc_id == a.doc_id)
+            t, u = a.text or "", b.text or ""
+            assert g.edited_fingerprint == plain_fingerprint(t[: len(t) - len(t) // 2] + u[: len(t) // 2], lexicon)
+            assert g.near_next == pytest.approx(alike(prints[t], prints[u]))
+
+
+def test_imatch_one_id_for_most_rows(spark):
+    """Null ids, and one id that repeats, are spread over ranges; the edited texts still form one chain."""
+    r = random.Random(9)
+    rows = [(None if i % 3 else 7, " ".join(f"w{r.randrange(50)}" for _ in range(9))) for i in range(120)] + [(i, f"text {i}") for i in range(5, 30)]
+    got = imatch.fingerprint_table(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert Counter(g.doc_id for g in got) == Counter(d for d, _ in rows)
+    follows = {sha(t[: len(t) - len(t) // 2] + u[: len(t) // 2]) for _, t in rows for _, u in rows}
+    assert all(g.edited_sha256 in follows for g in got)
+
+
+def plain_grams(text: str) -> Counter:
+    out: Counter = Counter()
+    low = text.replace("\0", " ").lower()
+    for order in language.ORDERS:
+        for i in range(len(low) - order + 1):
+            h = 0
+            for k, c in enumerate(low[i : i + order]):
+                h = ((h ^ (ord(c) + order)) * int(language._ODD[k])) & 0xFFFFFFFF
+                h ^= h >> 15
+            out[((h * int(language._ODD[1])) & 0xFFFFFFFF) >> (32 - language.BITS)] += 1
+    return out
+
+
+def test_language_model_and_scores_against_a_plain_bayes(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the hat", "en"), ("der Hund und die Katze", "de"), ("el gato y el perro", "es")] * 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {x: sum((plain_grams(t) for t, y in learned if y == x), Counter()) for x in ("de", "en", "es")}
+    share = Counter(x for _, x in learned)
+    cells = 1 << language.BITS
+    log = {x: {c: round(math.log((n + 0.1) / (sum(counts[x].values()) + 0.1 * cells)) * language.SCALE) for c, n in counts[x].items()} for x in counts}
+    low = {x: round(math.log(0.1 / (sum(counts[x].values()) + 0.1 * cells)) * language.SCALE) for x in counts}
+    model = language.fit(df)
+    assert model.languages == sorted(counts)
+    for k, x in enumerate(model.languages):
+        assert model.prior[k] == round(math.log(share[x] / len(learned)) * language.SCALE)
+        want = np.full(cells, low[x])
+        for c, v in log[x].items():
+            want[c] = v
+        assert np.abs(model.matrix[:-1, k] - want).max() <= 1
+    for t in ["the dog", "Katze und Hund", "perro gato", "x", "zz the und el"]:
+        total = {x: (model.prior[k] + sum(n * int(model.matrix[c, k]) for c, n in plain_grams(t).items())) / language.SCALE for k, x in enumerate(model.languages)}
+        best = max(total, key=lambda x: total[x])
+        langs, scores, evidence = language.predict(model, [t])
+        assert langs == [best]
+        assert scores[0] == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()))
+        assert evidence[0] == pytest.approx((total[best] - model.prior[model.languages.index(best)] / language.SCALE) / sum(plain_grams(t).values()) + math.log(cells))
+
+
+@pytest.mark.parametrize("rows", [[(1, "some words", None)], [(1, None, "en"), (5, None, "en")], [(15, "only the test fold", "en")], []])
+def test_language_without_anything_to_learn(spark, rows):
+    """No label, no text under any label, or labels in the test fold alone: nothing is learned, nothing crashes."""
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    if rows and rows[0][0] == 15:
+        assert zlib.crc32(b"15") % 4 == 2
+    got = language.language_table(df).collect()
+    assert [(g.doc_id, g.lang_pred, g.score) for g in got] == [(d, "und", 0.0) for d, _, _ in rows]
+
+
+def test_another_model_changes_what_the_pipeline_keeps(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "the cat and the hat " * 5, None), (2, "вот дом который построил джек " * 5, "ru"), (3, "12 34", "en"), (4, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    fit = lambda x: language.fit(spark.createDataFrame([(i, rows[x][1] * 100, lang) for i, lang in ((1, ["en", "ru"][x]), (2, ["en", "ru"][x]))], "doc_id bigint, text string, lang string"))
+    english, russian = ({r.doc_id: r.lang for r in p.language_stage(spark, df, "", fit(x)).collect()} for x in (0, 1))
+    assert english == {1: "en"} and russian == {2: "ru"}
+    both = language.fit(spark.createDataFrame([(1, rows[0][1] * 100, "en"), (2, rows[1][1] * 100, "ru")], "doc_id bigint, text string, lang string"))
+    assert {r.doc_id: r.lang for r in p.language_stage(spark, df, "", both).collect()} == {1: "en", 2: "ru"}
+
+
+CLASHING = ["lang_pred", "score", "evidence", "ids", "n_tokens", "epoch", "block", "slot", "curve", "shard", "base", "spans", "_weak", "_base", "_spans", "_new", "_same", "_id", "_as", "row", "key", "n", "s", "e", "draw", "node", "same", "label", "text_", "doc", "th", "kind", "bucket"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    r = random.Random(13)
+    texts = [" ".join(f"w{r.randrange(60)}" for _ in range(30)) for _ in range(8)]
+    rows = [(i, texts[i % 8] if i != 5 else None, "en" if i % 2 else "de", f"s{i % 2}", *(f"{c}{i}" for c in CLASHING)) for i in range(20)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)).repartition(2).cache()
+
+
+def test_columns_with_the_names_of_the_operators_own_keep_their_values(spark, clashing):
+    import corpus_pipeline as p
+
+    want = {r.doc_id: r for r in clashing.collect()}
+    made = {
+        "identify": language.identify(clashing, language.fit(clashing)),
+        "encode": bpe.encode(clashing),
+        "scan": secrets.scan(clashing),
+        "mix": mixing.mix(clashing),
+        "curve_shards": sharding.curve_shards(clashing, ["doc_id", "source", "score"], ["doc_id"]),
+    } | {name: f(spark, clashing, "") for name, f in p.STAGES[:-1]}
+    for name, df in made.items():
+        rows = df.collect()
+        assert rows, name
+        assert df.columns[: len(clashing.columns)] == clashing.columns, name
+        assert len(set(df.columns)) == len(df.columns), name
+        for r in rows:
+            assert [r[c] for c in CLASHING] == [want[r.doc_id][c] for c in CLASHING], name
+    for f in (imatch.fingerprint_table, secrets.secret_table, bpe.token_table, sharding.shard_documents, matroska.media_table, language.language_table, suffix.dedup_table, jaccard.link_table, mixing.mixture_table):
+        assert f(clashing).count() >= 20
+
+
+def test_warc_references_resolve_and_most_records_have_many_chunks(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdé\n") for _ in range(r.randrange(3000))) for _ in range(40)]
+    rows = [(i if i != 7 else None, f"http://x/{i}", texts[i % 40] if i % 9 else texts[0]) for i in range(120)] + [(3, "again", texts[3])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3).cache()
+    pages.count()
+    records = warc.archive(pages, 256).orderBy("record_id", "chunk").collect()
+    held: dict[str, list] = {}
+    for x in records:
+        held.setdefault(x.record_id, []).append(x)
+    assert len(held) == len(rows) and min(map(len, held.values())) > 1 and sum(len(v) > 4 for v in held.values()) > 30
+    heads = {}
+    for rid, parts in held.items():
+        assert [x.chunk for x in parts] == list(range(parts[0].chunks)) and max(len(x.data) for x in parts) <= 256
+        whole = b"".join(x.data for x in parts)
+        head, _, rest = whole.partition(b"\r\n\r\n")
+        payload = rest.partition(b"\r\n\r\n")[2][:-4]
+        assert parts[-1].running == sha(payload)
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        assert fields[b"WARC-Record-ID"].decode() == f"<urn:{rid}>"
+        heads[fields[b"WARC-Record-ID"]] = fields
+    references = [f for f in heads.values() if b"WARC-Refers-To" in f]
+    assert references
+    for f in references:
+        target = heads[f[b"WARC-Refers-To"]]
+        assert target[b"WARC-Type"] == b"response" and target[b"WARC-Payload-Digest"] == f[b"WARC-Payload-Digest"]
+
+
+def test_warc_damage_is_found(spark):
+    records = warc.archive(spark.createDataFrame([(1, "u", "x" * 5000)], "page_id bigint, url string, html string"), 512)
+    from pyspark.sql import functions as F
+
+    assert warc.read(records).count() == 1
+    broken = records.withColumn("data", F.when(F.col("chunk") == 4, F.encode(F.lit("y" * 512), "UTF-8")).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="damaged"):
+        warc.read(broken).collect()
+
+
+def test_warc_one_payload_for_a_third_of_the_pages(spark, monkeypatch):
+    """The table of repeats is joined by shuffle where it is not small, and by broadcast where it is: the same rows."""
+    rows = [(i, "u", "x" * 200 if i % 3 == 0 else f"{i} " * 60) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3).cache()
+    pages.count()
+    found = []
+    for small in (50_000, 0):
+        monkeypatch.setattr(warc, "SMALL", small)
+        found.append(Counter(map(tuple, warc.page_table(pages).collect())))
+    assert found[0] == found[1] and sum(n for r, n in found[0].items() if r[3] == "revisit") == 99
+
+
+@pytest.mark.parametrize("scale", [1_000_000, 250_000, 1_000_000_000])
+def test_matroska_of_another_time_scale(scale):
+    """The same block in a file whose ticks are not milliseconds, with the scale behind the cluster."""
+    u, e = matroska.uint, matroska.element
+    block = e(matroska.SIMPLE_BLOCK, matroska.vint(1) + (3).to_bytes(2, "big") + bytes([0x80]) + b"abc")
+    cluster = e(matroska.CLUSTER, u(matroska.TIME, 40) + block)
+    info = e(matroska.INFO, u(matroska.SCALE, scale) + matroska.real(matroska.DURATION, 100.0))
+    cues = e(matroska.CUES, e(matroska.POINT, u(matroska.CUE_TIME, 40) + e(matroska.CUE_PLACE, u(matroska.CUE_TRACK, 1) + u(matroska.CUE_CLUSTER, 0))))
+    m = matroska.parse(e(matroska.EBML, b"") + e(matroska.SEGMENT, cluster + info + cues))
+    assert [p.time for p in m.packets] == [round(43 * scale / 1e6)]
+    assert m.cues[0][0] == round(40 * scale / 1e6) and m.duration == pytest.approx(100 * scale / 1e6)
+
+
+def test_strings_that_begin_alike_are_told_apart_on_the_curve(spark):
+    rows = [(i, f"https://www.example.com/very/long/{i % 16:02}", i // 16) for i in range(320)]
+    df = spark.createDataFrame(rows, "doc_id bigint, url string, k int").repartition(3)
+    cells = df.select("url", *(c.alias(f"d{i}") for i, c in enumerate(sharding._cells(df, ["url", "k"], 4)))).collect()
+    assert len({(r.url, r.d0) for r in cells}) == 16 and len({r.d0 for r in cells}) == 16
+
+
+def test_files_of_curve_shards_prune_in_several_dimensions(spark, tmp_path):
+    """Of many files, few overlap a box in two dimensions; sorted by one of them, far more do."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, r.randrange(10_000), r.randrange(10_000)) for i in range(20_000)], "doc_id bigint, a bigint, b bigint").repartition(4)
+    sharding.write_shards(sharding.curve_shards(df, ["a", "b"], ["doc_id"]), str(tmp_path / "curve"), 300)
+    df.repartitionByRange(72, "a").sortWithinPartitions("a").write.parquet(str(tmp_path / "plain"))
+    found = {}
+    for name in ("curve", "plain"):
+        hits = n = 0
+        for f in glob.glob(f"{tmp_path}/{name}/**/*.parquet", recursive=True):
+            meta = pq.ParquetFile(f).metadata
+            for g in range(meta.num_row_groups):
+                at = {meta.row_group(g).column(k).path_in_schema: meta.row_group(g).column(k).statistics for k in range(meta.num_columns)}
+                n += 1
+                hits += all(at[c].min <= 5500 and at[c].max >= 4500 for c in ("a", "b"))
+        assert n > 50
+        found[name] = hits / n
+    assert found["curve"] < 0.1 and found["curve"] < 0.7 * found["plain"]
+
+
+def test_repeats_of_a_row_stand_side_by_side_and_are_encoded_alike(spark):
+    rows = [(i, f"text number {i} of some words", "big" if i < 50 else "small") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    parts = mixing.mix(df, slots=False).rdd.map(lambda r: r.doc_id).glom().collect()
+    assert sum(map(len, parts)) > 60
+    for part in parts:
+        changes = 1 + sum(a != b for a, b in zip(part, part[1:])) if part else 0  # noqa: B905
+        assert changes == len(set(part))
