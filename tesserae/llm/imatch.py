@@ -19,7 +19,7 @@ SUBSETS = 64
 LEVELS = 8
 LOW, HIGH = 0.001, 0.2  # share of documents a term of the lexicon is in
 THIN, FEW = 0.25, 16  # a row with less than this share of lexicon terms, or fewer, falls back, the more so the less
-FLUSH = 1 << 21
+FLUSH = 1 << 22  # terms that a task holds before it sums and sends them (32 MB)
 
 
 def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
