@@ -31,11 +31,7 @@ def conformance() -> dict:
 
 def collections(store: Store) -> DataFrame:
     """Layers and the folders above them that hold one kind of chunk: layer, kind (json or xml)."""
-    every = select.layers_with_ancestors(store.documents())
-    kinds = select.mime_per_layer(store.documents())
-    whole = every.join(store.documents().select(F.col("layer").alias("_below"), "mime"), F.col("_below").startswith(F.col("layer")))
-    del kinds
-    return select.mime_per_layer(whole.drop("_below")).orderBy("layer")
+    return select.collections(store.documents()).orderBy("layer")
 
 
 def check_datetime(text: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.values import shown
@@ -11,10 +11,15 @@ from tesserae.plans.lower import plan
 from tesserae.plans.translate import to_column
 
 
-def select(docs: DataFrame, query: object = None, dialect: str = "prefix", layer: str | None = None) -> DataFrame:
-    """The documents for which the query holds. Range columns that `docs` has are used for pruning."""
+def condition(docs: DataFrame, tree: object) -> Column:
+    """The filter for a predicate tree. Range columns that `docs` has are used for pruning."""
     indexed = frozenset(c[3:-4] for c in docs.columns if c.startswith("ix_") and c.endswith("_min") and not c.endswith("_smin"))
-    return docs.where(to_column(plan(query, dialect, layer), indexed))
+    return to_column(tree, indexed)
+
+
+def select(docs: DataFrame, query: object = None, dialect: str = "prefix", layer: str | None = None) -> DataFrame:
+    """The documents for which the query holds."""
+    return docs.where(condition(docs, plan(query, dialect, layer)))
 
 
 def paths(docs: DataFrame, *args: object, **kw: object) -> DataFrame:
@@ -55,12 +60,15 @@ def layers(docs: DataFrame) -> DataFrame:
     return docs.select("layer").distinct()
 
 
+def _with_ancestors(layer: Column) -> Column:
+    parts = F.split(F.rtrim(layer, F.lit("/")), "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    return F.when(layer == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), up))
+
+
 def layers_with_ancestors(docs: DataFrame) -> DataFrame:
     """Each layer and all folders above it, the root included."""
-    parts = F.split(F.rtrim(F.col("layer"), F.lit("/")), "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
-    every = F.when(F.col("layer") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), up))
-    return layers(docs).select(F.explode(every).alias("layer")).distinct()
+    return layers(docs).select(F.explode(_with_ancestors(F.col("layer"))).alias("layer")).distinct()
 
 
 def layer_exists(docs: DataFrame, name: str) -> bool:
@@ -69,6 +77,19 @@ def layer_exists(docs: DataFrame, name: str) -> bool:
 
 def mime_per_layer(docs: DataFrame) -> DataFrame:
     """Layers all of whose documents are JSON, or all XML."""
+    return _of_one_kind(_kinds(docs))
+
+
+def collections(docs: DataFrame) -> DataFrame:
+    """The same for layers and all folders above them: one aggregation by layer, then one over the few layers there are."""
+    above = _kinds(docs).withColumn("layer", F.explode(_with_ancestors(F.col("layer"))))
+    return _of_one_kind(above.groupBy("layer").agg(F.every("json").alias("json"), F.every("xml").alias("xml")))
+
+
+def _kinds(docs: DataFrame) -> DataFrame:
     json, xml = F.col("mime").rlike(r"^application/([\w.-]+\+)?json$"), F.col("mime").rlike(r"^(application|text)/([\w.-]+\+)?xml$")
-    found = docs.groupBy("layer").agg(F.every(json).alias("json"), F.every(xml).alias("xml"))
+    return docs.groupBy("layer").agg(F.every(json).alias("json"), F.every(xml).alias("xml"))
+
+
+def _of_one_kind(found: DataFrame) -> DataFrame:
     return found.where("json or xml").select("layer", F.when(F.col("json"), "json").otherwise("xml").alias("kind"))

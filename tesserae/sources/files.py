@@ -9,8 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tesserae.model import DOCUMENT, META, normalize_layer, tagged
@@ -30,6 +29,9 @@ class ImportOptions:
     strict: bool = False
     flatten: bool = False
     import_ts: int = 0
+    import_id: str = ""  # begins the names of the chunks, so that those of two imports differ
+    splitter: str = "geojson"  # of JSON files; see SPLITTERS
+    strict_pairs: bool = False  # coordinates as x, y, x, y, whatever their nesting
 
 
 def belongs_to(mime: str, kind: str, suffix: str) -> bool:
@@ -43,19 +45,15 @@ def sniff(data: bytes) -> str | None:
     return "application/json" if head in (b"{", b"[") and head else "application/xml" if head == b"<" else None
 
 
-def sniff_column(content: Column) -> Column:
-    head = F.substring(F.ltrim(F.regexp_replace(F.decode(F.substring(content, 1, 100_000), "UTF-8"), "^[\\ufeff\\s]+", "")), 1, 1)
-    return F.when(head.isin("{", "["), "application/json").when(head == "<", "application/xml")
-
-
 def rows(data: bytes, filename: str, o: ImportOptions, mime: str | None = None) -> Iterator[dict]:
-    """Chunk rows of one file, in order. Ids are the file's checksum and an ordinal, so a second import gives the same."""
+    """Chunk rows of one file, in order. A chunk is named by its layer, import, file and number in the file."""
     mime = mime or sniff(data)
-    correlation = o.correlation_id or hashlib.sha256(filename.encode() + b"\0" + data).hexdigest()[:24]
+    named = f"{o.import_id}{hashlib.sha256(filename.encode()).hexdigest()[:16]}"
+    filename = filename.rsplit("/", 1)[-1]
     layer = normalize_layer(o.layer)
     common = {
         "layer": layer,
-        "correlation_id": correlation,
+        "correlation_id": o.correlation_id or named,
         "filename": filename,
         "import_ts": o.import_ts,
         "mime": mime,
@@ -75,18 +73,22 @@ def rows(data: bytes, filename: str, o: ImportOptions, mime: str | None = None)
         meta = {"mime": mime, "geojson_type": None, "parent_name": None, "header": None, "parents": []} | row.pop("meta")
         box = extract_json.valid(row.pop("box")) or (None,) * 4
         meta_id = hashlib.sha256(json.dumps(meta, sort_keys=True).encode()).hexdigest()
-        yield common | {"path": f"{layer or '/'}{correlation}{n:09d}", "meta": meta, "meta_id": meta_id} | dict(zip(("min_x", "min_y", "max_x", "max_y"), box, strict=True)) | row
+        yield common | {"path": f"{layer or '/'}{named}{n:09d}", "meta": meta, "meta_id": meta_id} | dict(zip(("min_x", "min_y", "max_x", "max_y"), box, strict=True)) | row
+
+
+#: How JSON files are split, by name; others can be added.
+SPLITTERS = {"geojson": split_json.split_geojson, "json": split_json.split_json}
 
 
 def json_rows(data: bytes, o: ImportOptions) -> Iterator[dict]:
-    for c in split_json.split_geojson(data):
+    for c in SPLITTERS[o.splitter](data):
         kind = c.value.get("type") if isinstance(c.value, dict) else None
         yield {
             "data": c.data,
             "meta": {"geojson_type": kind if isinstance(kind, str) else None, "parent_name": c.parent_name},
             "attrs": extract_json.flattened(c.value) if o.flatten else extract_json.properties(c.value),
             "geojson_ids": extract_json.feature_ids(c.value),
-            "box": extract_json.bounding_box(c.value),
+            "box": extract_json.bounding_box(c.value, o.strict_pairs),
         }
 
 
@@ -119,7 +121,7 @@ def stage(files: DataFrame, o: ImportOptions) -> DataFrame:
 
                     data = gzip.decompress(data)
                 held, size = [], 0
-                for row in rows(data, path.rsplit("/", 1)[-1], o):
+                for row in rows(data, path, o):
                     held.append(row)
                     size += len(row["data"])
                     if len(held) >= 1000 or size > 8 << 20:

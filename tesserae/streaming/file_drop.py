@@ -12,20 +12,14 @@ BINARY_FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField
 
 
 def watch(store: Store, folder: str, checkpoint: str, glob: str = "*", available_now: bool = True, max_files: int = 1000, **options: object) -> StreamingQuery:
-    """Imports what is in `folder` and what comes. The checkpoint remembers the files that are done; a batch that is run
-    again gives the same paths, since ids are checksums, and is skipped by its correlation id."""
+    """Imports what is in `folder` and what comes, each file once. The checkpoint remembers the files that are done; the
+    number of a batch becomes visible together with its chunks, so a batch that is run again, for whatever reason, is
+    known by it and left out."""
     stream = store.spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(folder)
 
     def batch(files: DataFrame, number: int) -> None:
-        mark = f"{options.get('correlation_id', 'drop')}-{number}"
-        if any(x["correlation_id"] == mark for x in store.manifest().log):
-            return
-        given = dict(options) | {"correlation_id": None}
         if not files.isEmpty():
-            store.import_binary(files, **given)
-            m = store.manifest()
-            m.log[-1]["correlation_id"] = mark
-            store.commit(m)
+            store.import_binary(files, mark=f"{checkpoint}#{number}", **options)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
