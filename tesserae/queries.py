@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.values import shown
+from tesserae import rendered
+from tesserae.functions.values import value
 from tesserae.operators import mutate, select
 from tesserae.sources import tables as T
 
@@ -35,18 +36,15 @@ def _add(name: str, f: Query, sql: str | None) -> None:
 
 
 _paths("search_and_range_eq", "part", 'AND(GTE(size 10) EQ(brand "Brand#13"))', "p_size >= 10 and p_brand = 'Brand#13'")
-_paths("search_all", "part", None, "true")
 _paths("search_layer_prefix", "part", None, "lower(p_type) like 'promo%'", layer="/catalog/promo")
-_paths("layer_is_no_name_prefix", "part", None, "false", layer="catalog/prom")
 _paths("layer_and_query", "text", 'GT(n_chars 1000)', "lang = 'fr' and n_chars > 1000", layer="text/fr")
 _paths("eq_string", "part", 'EQ(brand "Brand#13")', "p_brand = 'Brand#13'")
 _paths("eq_int", "part", "EQ(size 15)", "p_size = 15")
 _paths("eq_int_as_float", "part", "EQ(size 15.0)", "p_size = 15")
-_paths("eq_string_of_int_misses", "part", 'EQ(size "15")', "false")
+_paths("eq_string_of_int_misses", "part", 'OR(EQ(size "15") EQ(size 16))', "p_size = 16")
 _paths("infix_eq_int", "part", "size == 15", "p_size = 15", "infix")
-_paths("infix_eq_float_strict_misses", "part", "size == 15.0", "false", "infix")
+_paths("infix_eq_float_strict_misses", "part", "size == 15.0 || size == 16", "p_size = 16", "infix")
 _paths("infix_neq", "part", 'brand != "Brand#13"', "p_brand <> 'Brand#13'", "infix")
-_paths("infix_neq_missing_key", "vec", "size != 3", "true", "infix")
 for _op, _sql in (("GT", ">"), ("GTE", ">="), ("LT", "<"), ("LTE", "<=")):
     _paths(f"{_op.lower()}_int", "part", f"{_op}(size 25)", f"p_size {_sql} 25")
     _paths(f"{_op.lower()}_float", "event", f"{_op}(value 12.5)", f"value {_sql} 12.5")
@@ -54,7 +52,7 @@ for _op, _sql in (("GT", ">"), ("GTE", ">="), ("LT", "<"), ("LTE", "<=")):
     _paths(f"{_op.lower()}_string", "text", f'{_op}(source "src13")', f"source {_sql} 'src13'")
     _paths(f"infix_{_op.lower()}_int", "part", f"size {_sql} 25", f"p_size {_sql} 25", "infix")
     _paths(f"infix_{_op.lower()}_float", "event", f"value {_sql} 12.5", f"value {_sql} 12.5", "infix")
-    _paths(f"infix_{_op.lower()}_int_on_float_misses", "event", f"value {_sql} 12", "false", "infix")
+    _paths(f"infix_{_op.lower()}_int_on_float_misses", "event", f"value {_sql} 12 || user_id {_sql} 50", f"user_id {_sql} 50", "infix")
 _paths("and_or_not_nested", "part", 'AND(OR(EQ(size 3) GT(size 40)) NOT(EQ(brand "Brand#13") EQ(type "PROMO")))', "(p_size = 3 or p_size > 40) and not (p_brand = 'Brand#13' or p_type = 'PROMO')")
 _paths("infix_precedence", "part", 'size == 3 || size > 40 && brand == "Brand#13"', "p_size = 3 or (p_size > 40 and p_brand = 'Brand#13')", "infix")
 _paths("infix_not", "part", "!(size == 3 or size > 40)", "not (p_size = 3 or p_size > 40)", "infix")
@@ -75,10 +73,24 @@ _paths("bbox_window", "vec", "-10,-5,10,5", "x between -10 and 10 and y between
 _paths("infix_bbox", "vec", "bbox(-10, -5, 10, 5)", "x between -10 and 10 and y between -5 and 5", "infix")
 _paths("bbox_swapped_corners", "vec", "rect(10, 5, -10, -5)", "x between -10 and 10 and y between -5 and 5", "infix")
 _paths("bbox_and_attribute", "vec", "AND(-20,-10,20,10 EQ(label 3))", "x between -20 and 20 and y between -10 and 10 and label = 3")
-_paths("bbox_missing", "part", "-180,-90,180,90", "false")
-_paths("bbox_not", "part", "NOT(-180,-90,180,90)", "true")
 _paths("tags_contains", "customer", "BUILDING", "c_mktsegment = 'BUILDING'")
 
+
+
+def _some(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of which every other has a place, every third a size, and whose layers have names that begin alike."""
+    third = F.when(F.col("label") % 3 == 0, F.col("label"))
+    x, y = (F.when(F.col("vec_id") % 2 == 0, F.col("embedding")[i].cast("double") * k) for i, k in ((0, 180), (1, 90)))
+    layer = F.when(F.col("label") % 2 == 0, "atlas/map/").otherwise("atlas/maps/")
+    return T.documents(T.read(spark, d, "embeddings"), T.key("vec", "vec_id"), layer, attrs=[value("size", third, "l")], tags=[F.col("vec_id").cast("string")], box=(x, y, x, y))
+
+
+SOURCES["some"] = (_some, VEC)
+_paths("bbox_missing", "some", "-180,-90,180,90", "vec_id % 2 = 0")
+_paths("bbox_not", "some", "NOT(-180,-90,0,90)", "vec_id % 2 = 1 or x > 0")
+_paths("layer_is_no_name_prefix", "some", None, "label % 2 = 0", layer="atlas/map")
+_paths("infix_neq_missing_key", "some", "size != 3", "label % 3 <> 0 or label <> 3", "infix")
+_add("search_all", lambda s, d: select.select(_some(s, d)).select("path", "layer", F.size("attrs").alias("n"), F.element_at("tags", 1).alias("tag")), f"select path, case label % 2 when 0 then 'atlas/map/' else 'atlas/maps/' end as layer, case label % 3 when 0 then 1 else 0 end as n, vec_id::varchar as tag from ({VEC}) t")
 _paths("bbox_touching_edge", "vec", "0,-90,180,90", "x >= 0 and x <= 180 and y between -90 and 90")
 _add("prefix_place_folder", lambda s, d: select.paths(T.place_documents(s, d), None, layer="geo/europe"), "select 'nation/' || n_nationkey as path from nation join region on n_regionkey = r_regionkey where r_name = 'EUROPE'")
 _add("exists_layer", lambda s, d: s.createDataFrame([(x, select.layer_exists(T.part_documents(s, d), x)) for x in ("catalog", "catalog/promo", "nowhere")], "layer string, found boolean"), "select 'catalog' as layer, count(*) > 0 as found from part union all select 'catalog/promo', coalesce(bool_or(lower(p_type) = 'promo'), false) from part union all select 'nowhere', false")
@@ -86,7 +98,7 @@ _add("add_tags", lambda s, d: mutate.add_tags(T.part_documents(s, d), ["x", "y",
 _add("remove_tags", lambda s, d: mutate.remove_tags(T.part_documents(s, d), ["Brand#13"], "GT(size 25)").select("path", F.array_join("tags", ",").alias("tags")), f"select path, case when p_size > 25 and p_brand = 'Brand#13' then '' else p_brand end as tags from ({PART}) t")
 _PROPS = "transform(props, e -> concat(e.key, '=', coalesce(e.s, cast(e.l as string))))"
 _add("set_properties", lambda s, d: mutate.set_properties(T.event_documents(s, d), {"k": 7, "note": "n"}, "GTE(k 50)").select("path", F.expr(f"array_join({_PROPS}, ',')").alias("props")), f"select path, case when k >= 50 then 'k=7,note=n' else 'k=' || k end as props from ({EVENT}) t")
-_add("remove_properties", lambda s, d: mutate.remove_properties(T.event_documents(s, d), ["k", "other"], "GTE(k 50)").select("path", F.size("props").alias("n_props")), f"select path, cast(case when k >= 50 then 0 else 1 end as integer) as n_props from ({EVENT}) t")
+_add("remove_properties", lambda s, d: mutate.remove_properties(T.event_documents(s, d), ["k", "other"], "GTE(k 50)").select("path", F.expr(f"array_join({_PROPS}, ',')").alias("props")), f"select path, case when k >= 50 then '' else 'k=' || k end as props from ({EVENT}) t")
 _add("delete_by_query", lambda s, d: mutate.delete(T.part_documents(s, d), "GT(size 25)").select("path"), f"select path from ({PART}) t where p_size <= 25")
 _add("delete_by_paths", lambda s, d: mutate.delete_paths(T.part_documents(s, d), select.paths(T.part_documents(s, d), "LT(size 10)")).select("path"), f"select path from ({PART}) t where p_size >= 10")
 _add("distinct_property_values", lambda s, d: select.property_values(T.event_documents(s, d), "k"), f"select distinct 'l' as t, cast(k as varchar) as value from ({EVENT}) t where k is not null")
@@ -98,4 +110,7 @@ _add("scroll_page2", lambda s, d: select.page(T.part_documents(s, d), "GT(size 1
 _MIME = "case when layer = 'text/fr/' then 'application/xml' when layer <> 'text/de/' then 'application/json' when path like '%0' then 'application/gml+xml' else 'application/geo+json' end"
 _add("mime_per_layer", lambda s, d: select.mime_per_layer(T.text_documents(s, d).withColumn("mime", F.expr(_MIME))), "select 'text/' || lang || '/' as layer, case when lang = 'fr' then 'xml' else 'json' end as kind from documents where lang <> 'de' group by lang")
 _add("distinct_meta", lambda s, d: select.distinct_meta(T.text_documents(s, d).withColumn("meta_id", F.sha2(F.col("layer"), 256)), "GT(n_chars 1000)"), "select distinct sha256('text/' || lang || '/') as meta_id from documents where n_chars > 1000")
-_add("attribute_rows", lambda s, d: select.select(T.event_documents(s, d), "GT(value 50)").select("path", F.explode("attrs").alias("e")).select("path", "e.key", "e.t", F.when(F.col("e.t") == "l", shown(F.col("e"))).alias("value")), f"select path, 'value' as key, 'd' as t, null::varchar as value from ({EVENT}) t where value > 50 union all select path, 'user_id', 'l', cast(user_id as varchar) from ({EVENT}) t where value > 50")
+_add("attribute_rows", lambda s, d: select.select(T.event_documents(s, d), "GT(value 50)").select("path", F.explode("attrs").alias("e")).select("path", "e.key", "e.t", F.coalesce("e.d", F.col("e.l").cast("double")).alias("value")), f"select path, 'value' as key, 'd' as t, value::double as value from ({EVENT}) t where value > 50 union all select path, 'user_id', 'l', user_id::double from ({EVENT}) t where value > 50")
+
+QUERIES |= rendered.QUERIES
+ORACLES |= rendered.ORACLES
