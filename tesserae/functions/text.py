@@ -6,6 +6,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LETTERS = r"\p{IsAlphabetic}\p{N}"  # of a word, in the engine's patterns
 _WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
@@ -15,7 +16,7 @@ def words(text: str) -> list[str]:
 
 def token_column(text: Column) -> Column:
     """The words of a text, in order."""
-    split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+")
+    split = F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{LETTERS}]+")
     return F.filter(split, lambda w: (w != "") & (F.octet_length(w) < 40))
 
 

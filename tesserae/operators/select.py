@@ -14,7 +14,7 @@ from tesserae.plans.translate import to_column
 def condition(docs: DataFrame, tree: object) -> Column:
     """The filter for a predicate tree. Range columns that `docs` has are used for pruning."""
     indexed = frozenset(c[3:-4] for c in docs.columns if c.startswith("ix_") and c.endswith("_min") and not c.endswith("_smin"))
-    return to_column(tree, indexed)
+    return to_column(tree, indexed, "text" in docs.columns)
 
 
 def select(docs: DataFrame, query: object = None, dialect: str = "prefix", layer: str | None = None) -> DataFrame:

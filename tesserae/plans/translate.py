@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import words
+from tesserae.functions.text import LETTERS, words
 from tesserae.plans.lower import ADDRESS_NAMES, FEATURE_ID_NAMES, GML_ID_NAMES
 from tesserae.plans.nodes import All, And, BBox, Compare, Contains, ElemCompare, ElemExists, Not, Or, StartsWith, Text
 
@@ -64,23 +64,35 @@ def pruning(key: str, op: str, v: object) -> Column:
     return {"eq": least & most, "gt": most, "gte": most, "lt": least, "lte": least}[op]
 
 
-def to_column(p: object, indexed: frozenset[str] = frozenset()) -> Column:
-    """The filter for a predicate tree. `indexed`: fields for which `documents` has range columns."""
+def in_text(found: list[str]) -> Column:
+    """A word or a phrase, looked for in the raw text. Only where a word too long to count may stand inside a phrase, the
+    words themselves are made."""
+    low = F.lower(F.col("text"))
+    between = rf"[^{LETTERS}]+"
+    direct = reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in sorted(set(found)))) & low.rlike(rf"(?<![{LETTERS}]){between.join(found)}(?![{LETTERS}])")
+    if len(found) == 1:
+        return direct
+    long = low.rlike(rf"[{LETTERS}]{{10,}}{between}{found[-1]}(?![{LETTERS}])") & reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in found))
+    return direct | long & F.contains(F.col("text_norm"), F.lit(f" {' '.join(found)} "))
+
+
+def to_column(p: object, indexed: frozenset[str] = frozenset(), raw: bool = False) -> Column:
+    """The filter for a predicate tree. `indexed`: fields for which `documents` has range columns; `raw`: it has texts."""
     match p:
         case All():
             return F.lit(True)
         case And(parts):
-            return reduce(lambda a, b: a & b, (to_column(x, indexed) for x in parts)) if parts else F.lit(True)
+            return reduce(lambda a, b: a & b, (to_column(x, indexed, raw) for x in parts)) if parts else F.lit(True)
         case Or(parts):
             keys = {(x.key, x.op, x.value) for x in parts if isinstance(x, ElemCompare)}
-            whole = reduce(lambda a, b: a | b, (to_column(x, indexed) for x in parts)) if parts else F.lit(True)
+            whole = reduce(lambda a, b: a | b, (to_column(x, indexed, raw) for x in parts)) if parts else F.lit(True)
             if len(keys) == 1 and all(isinstance(x, ElemCompare) for x in parts):
                 key, op, v = next(iter(keys))
                 if key in indexed and key not in ELSEWHERE:
                     return pruning(key, op, v) & whole
             return whole
         case Not(part):
-            return ~F.coalesce(to_column(part, indexed), F.lit(False))
+            return ~F.coalesce(to_column(part, indexed, raw), F.lit(False))
         case StartsWith(field, prefix):
             return F.col(field).startswith(prefix)
         case Compare(field, op, value):
@@ -96,6 +108,8 @@ def to_column(p: object, indexed: frozenset[str] = frozenset()) -> Column:
             return (F.col("min_x") <= x2) & (F.col("max_x") >= x1) & (F.col("min_y") <= y2) & (F.col("max_y") >= y1)
         case Text(text):
             found = words(text)
+            if raw:
+                return in_text(found)
             if len(found) == 1:
                 return F.array_contains("tokens", found[0])
             return F.contains(F.col("text_norm"), F.lit(f" {' '.join(found)} "))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae import rendered
-from tesserae.functions.values import value
 from tesserae.operators import mutate, select
 from tesserae.sources import tables as T
 
@@ -82,7 +81,7 @@ def _some(spark: SparkSession, d: str) -> DataFrame:
     third = F.when(F.col("label") % 3 == 0, F.col("label"))
     x, y = (F.when(F.col("vec_id") % 2 == 0, F.col("embedding")[i].cast("double") * k) for i, k in ((0, 180), (1, 90)))
     layer = F.when(F.col("label") % 2 == 0, "atlas/map/").otherwise("atlas/maps/")
-    return T.documents(T.read(spark, d, "embeddings"), T.key("vec", "vec_id"), layer, attrs=[value("size", third, "l")], tags=[F.col("vec_id").cast("string")], box=(x, y, x, y))
+    return T.documents(T.read(spark, d, "embeddings"), T.key("vec", "vec_id"), layer, attrs=[T.field("size", third, "l")], tags=[F.col("vec_id").cast("string")], box=(x, y, x, y))
 
 
 SOURCES["some"] = (_some, VEC)

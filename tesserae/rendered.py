@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserae import ogc
 from tesserae.functions import crs
-from tesserae.functions.values import shown, value
+from tesserae.functions.values import shown
 from tesserae.operators import merge, mutate, select
 from tesserae.plans import infix, labels, prefix
 from tesserae.plans.nodes import QuerySyntaxError
@@ -347,7 +347,7 @@ _add("addresses_are_free_values", lambda s, d: building_store(s, d).select("BUIL
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with attribute names that only just are names, and correlation ids."""
     df = tables.read(spark, sf_dir, "part")
-    docs = tables.documents(df, tables.key("part", "p_partkey"), F.lit("parts/"), attrs=[value("größe-2", "p_size", "l"), value("ORder", "p_size", "l"), value("two words", "p_size", "l"), value("not", "p_size", "l")])
+    docs = tables.documents(df, tables.key("part", "p_partkey"), F.lit("parts/"), attrs=[tables.field("größe-2", "p_size", "l"), tables.field("ORder", "p_size", "l"), tables.field("two words", "p_size", "l"), tables.field("not", "p_size", "l")])
     return docs.withColumn("correlation_id", F.concat(F.lit("c"), (F.regexp_extract("path", "[0-9]+$", 0).cast("bigint") % 5).cast("string")))
 
 
