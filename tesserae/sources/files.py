@@ -5,16 +5,21 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.model import DOCUMENT, META, normalize_layer, tagged
 from tesserae.sources import extract_json, split_json, xml
 
+CELL = 256 << 20  # bytes of a file up to which it is read as one cell
 #: One row for each chunk: bytes, metadata, and the columns of a document.
 STAGED = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("meta", META), *DOCUMENT.fields])
 
@@ -45,9 +50,29 @@ def sniff(data: bytes) -> str | None:
     return "application/json" if head in (b"{", b"[") and head else "application/xml" if head == b"<" else None
 
 
-def rows(data: bytes, filename: str, o: ImportOptions, mime: str | None = None) -> Iterator[dict]:
-    """Chunk rows of one file, in order. A chunk is named by its layer, import, file and number in the file."""
-    mime = mime or sniff(data)
+def unzipped(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The pieces of a file, or of what is in it, if it is a gzip file of one or more members."""
+    it = iter(pieces)
+    first = next(it, b"")
+    if first[:2] != b"\x1f\x8b":
+        yield from chain([first], it)
+        return
+    unzip = zlib.decompressobj(31)
+    for piece in chain([first], it):
+        while piece:
+            yield unzip.decompress(piece, split_json.PIECE)
+            piece = unzip.unconsumed_tail
+            if unzip.eof:
+                piece, unzip = unzip.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+    yield unzip.flush()
+
+
+def rows(data: bytes | Iterable[bytes], filename: str, o: ImportOptions, mime: str | None = None) -> Iterator[dict]:
+    """Chunk rows of one file, in order, read piece by piece. A chunk is named by its layer, import, file and number."""
+    pieces = unzipped(split_json.pieces_of(data))
+    first = next(pieces, b"")
+    mime = mime or sniff(first)
+    data = chain([first], pieces)
     named = f"{o.import_id}{hashlib.sha256(filename.encode()).hexdigest()[:16]}"
     filename = filename.rsplit("/", 1)[-1]
     layer = normalize_layer(o.layer)
@@ -99,15 +124,30 @@ def xml_rows(data: bytes, o: ImportOptions) -> Iterator[dict]:
         yield {"data": c.data, "meta": {"parents": [c.root.row()]}, "attrs": c.attrs, "gml_ids": c.gml_ids, "address": address, "box": c.box}
 
 
-def read_files(spark: SparkSession, paths: str | list[str], o: ImportOptions, glob: str | None = None) -> DataFrame:
-    """Staged rows of all files that the paths and the optional file name pattern match. gzip is read as it is."""
+def read_files(spark: SparkSession, paths: str | list[str], o: ImportOptions, glob: str | None = None, cell: int = CELL) -> DataFrame:
+    """Staged rows of all files that the paths and the optional file name pattern match. gzip is read as it is.
+
+    Files of up to `cell` bytes come as cells of the table of files. Larger ones, which no cell can hold beyond 2 GB, are
+    opened by the task that reads them, and are never whole in memory."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    return stage(reader.load(paths), o)
+    files = reader.load(paths)
+    small = stage(files.where(F.col("length") <= cell), o)
+    large = files.where(F.col("length") > cell).select("path", F.lit(None).cast("binary").alias("content"))
+    return small if large.isEmpty() else small.union(stage(large.repartition(large.count(), "path"), o))
+
+
+def opened(path: str) -> Iterator[bytes]:
+    """A file's bytes, from any file system that Arrow knows."""
+    fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    with fs.open_input_stream(name, compression=None) as f:
+        while piece := f.read(split_json.PIECE):
+            yield piece
 
 
 def stage(files: DataFrame, o: ImportOptions) -> DataFrame:
+    """Staged rows of files (path, content); a file without content is opened by its path."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(STAGED)
@@ -115,11 +155,7 @@ def stage(files: DataFrame, o: ImportOptions) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    import gzip
-
-                    data = gzip.decompress(data)
+                data = memoryview(content.as_buffer()) if content.is_valid else opened(path)
                 held, size = [], 0
                 for row in rows(data, path, o):
                     held.append(row)
