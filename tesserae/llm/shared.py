@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,30 @@ def folder(spark: SparkSession) -> str:
     return (conf or f"{tempfile.gettempdir()}/tesserae-tables").rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Arrow batches of that size, in what is run meanwhile. They are held twice on either side of a Python worker, and
+    rows of packed arrays or bitmaps fill the largest that are allowed."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with batches_of(spark, "8m"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written, out._needs = path, []
     release(*getattr(df, "_needs", []))
