@@ -41,8 +41,18 @@ def plan(query: str | object | None, dialect: str = "prefix", layer: str | None
     return body
 
 
+#: Asked first about each term; see `tesserae.extensions`.
+COMPILERS: list = []
+
+
+def _compiled(q: object, dialect: str) -> object | None:
+    return next((found for f in COMPILERS if (found := f(q, dialect)) is not None), None)
+
+
 def lower_prefix(q: object) -> object:
     """Bare values are compared whole, over tags, properties, attributes, ids and address parts."""
+    if (own := _compiled(q, "prefix")) is not None:
+        return own
     match q:
         case And(parts) | Or(parts):
             return flat(type(q), [lower_prefix(p) for p in parts])
@@ -73,6 +83,8 @@ def lower_infix(q: object) -> object | None:
     """Bare values are full text; comparisons are typed. None for a term without words, which drops out."""
     from tesserae.functions.text import words
 
+    if (own := _compiled(q, "infix")) is not None:
+        return own
     match q:
         case And(parts) | Or(parts):
             kept = [x for x in map(lower_infix, parts) if x is not None]

@@ -304,9 +304,9 @@ def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, rows, after = feature_store(spark, sf_dir), [], None
     while True:
         page = ogc.items(store, "world/people", 40, after, bbox="0,-89,180,90", segment="BUILDING", datetime="2020-01-01T00:00:00Z/..")
-        rows += [(f["id"], len(rows) // 40, page["numberReturned"], bool(page["links"])) for f in page["features"]] if page["features"] else []
+        rows += [(f["id"], len(rows) // 40, page["numberReturned"], len(page["links"]) > 1) for f in page["features"]] if page["features"] else []
         after = page["scrollId"]
-        if not page["links"]:
+        if len(page["links"]) < 2:
             return spark.createDataFrame(rows, "id string, page bigint, returned bigint, more boolean")
 
 

@@ -6,8 +6,8 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import pyarrow as pa
@@ -35,7 +35,10 @@ class ImportOptions:
     flatten: bool = False
     import_ts: int = 0
     import_id: str = ""  # begins the names of the chunks, so that those of two imports differ
-    splitter: str = "geojson"  # of JSON files; see SPLITTERS
+    splitter: str | Callable = "geojson"  # of files that are not XML; see SPLITTERS
+    indexers: tuple[Callable, ...] = ()
+    meta_indexers: tuple[Callable, ...] = ()
+    mime: str | None = None  # of all files, if it is not to be found out
     strict_pairs: bool = False  # coordinates as x, y, x, y, whatever their nesting
 
 
@@ -71,7 +74,7 @@ def rows(data: bytes | Iterable[bytes], filename: str, o: ImportOptions, mime: s
     """Chunk rows of one file, in order, read piece by piece. A chunk is named by its layer, import, file and number."""
     pieces = unzipped(split_json.pieces_of(data))
     first = next(pieces, b"")
-    mime = mime or sniff(first)
+    mime = mime or o.mime or sniff(first)
     data = chain([first], pieces)
     named = f"{o.import_id}{hashlib.sha256(filename.encode()).hexdigest()[:16]}"
     filename = filename.rsplit("/", 1)[-1]
@@ -97,31 +100,46 @@ def rows(data: bytes | Iterable[bytes], filename: str, o: ImportOptions, mime: s
     for n, row in enumerate(found):
         meta = {"mime": mime, "geojson_type": None, "parent_name": None, "header": None, "parents": []} | row.pop("meta")
         box = extract_json.valid(row.pop("box")) or (None,) * 4
+        props = common["props"] + indexed(meta, o.meta_indexers)
         meta_id = hashlib.sha256(json.dumps(meta, sort_keys=True).encode()).hexdigest()
-        yield common | {"path": f"{layer or '/'}{named}{n:09d}", "meta": meta, "meta_id": meta_id} | dict(zip(("min_x", "min_y", "max_x", "max_y"), box, strict=True)) | row
+        yield common | {"path": f"{layer or '/'}{named}{n:09d}", "meta": meta, "meta_id": meta_id, "props": props} | dict(zip(("min_x", "min_y", "max_x", "max_y"), box, strict=True)) | row
 
 
-#: How JSON files are split, by name; others can be added.
-SPLITTERS = {"geojson": split_json.split_geojson, "json": split_json.split_json}
+#: How JSON files are split, by name; others can be added, with the type that their files are taken for.
+SPLITTERS: dict[str, Callable] = {"geojson": split_json.split_geojson, "json": split_json.split_json}
+SPLITTER_TYPES: dict[str, str] = {}
+INDEXERS: list[Callable] = []
+META_INDEXERS: list[Callable] = []
+
+
+def resolved(o: ImportOptions) -> ImportOptions:
+    """The options with what is registered by name, for tasks, which know nothing of the driver's registers."""
+    found = SPLITTERS[o.splitter] if isinstance(o.splitter, str) else o.splitter
+    mime = SPLITTER_TYPES.get(o.splitter, o.mime) if isinstance(o.splitter, str) else o.mime
+    return replace(o, splitter=found, mime=mime, indexers=(*o.indexers, *INDEXERS), meta_indexers=(*o.meta_indexers, *META_INDEXERS))
 
 
 def json_rows(data: bytes, o: ImportOptions) -> Iterator[dict]:
-    for c in SPLITTERS[o.splitter](data):
+    for c in o.splitter(data):
         kind = c.value.get("type") if isinstance(c.value, dict) else None
         yield {
             "data": c.data,
             "meta": {"geojson_type": kind if isinstance(kind, str) else None, "parent_name": c.parent_name},
-            "attrs": extract_json.flattened(c.value) if o.flatten else extract_json.properties(c.value),
+            "attrs": (extract_json.flattened(c.value) if o.flatten else extract_json.properties(c.value)) + indexed(c.value, o.indexers),
             "geojson_ids": extract_json.feature_ids(c.value),
             "box": extract_json.bounding_box(c.value, o.strict_pairs),
         }
 
 
+def indexed(value: object, indexers: Iterable[Callable]) -> list[dict]:
+    return [tagged(k, v) for f in indexers for k, v in f(value).items()]
+
+
 def xml_rows(data: bytes, o: ImportOptions) -> Iterator[dict]:
     skip = frozenset(["Envelope"]) if o.strict else frozenset()
     for c in xml.split(data, self_closing=not o.strict, skip=skip, strict=o.strict, fallback_crs=o.fallback_crs, first_text=o.strict):
         address = {k: c.address.get(k) for k in ("Country", "Locality", "Street", "Number")} if c.address else None
-        yield {"data": c.data, "meta": {"parents": [c.root.row()]}, "attrs": c.attrs, "gml_ids": c.gml_ids, "address": address, "box": c.box}
+        yield {"data": c.data, "meta": {"parents": [c.root.row()]}, "attrs": c.attrs + indexed(c, o.indexers), "gml_ids": c.gml_ids, "address": address, "box": c.box}
 
 
 def read_files(spark: SparkSession, paths: str | list[str], o: ImportOptions, glob: str | None = None, cell: int = CELL) -> DataFrame:
@@ -150,7 +168,7 @@ def stage(files: DataFrame, o: ImportOptions) -> DataFrame:
     """Staged rows of files (path, content); a file without content is opened by its path."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(STAGED)
+    schema, o = to_arrow_schema(STAGED), resolved(o)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

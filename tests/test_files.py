@@ -463,3 +463,49 @@ def test_files_too_large_for_a_cell_are_opened_by_their_task(spark, tmp_path):
     o = files.ImportOptions()
     got = [sorted((r.path, bytes(r.data)) for r in files.read_files(spark, str(tmp_path), o, cell=c).collect()) for c in (files.CELL, 100, 0)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 6
+
+
+def test_views_of_the_features_api(store):
+    base = "http://x/y"
+    page = ogc.landing_page(base)
+    assert {x["rel"] for x in page["links"]} >= {"self", "service-desc", "conformance", "data"} and any(c.endswith("oas30") for c in ogc.conformance()["conformsTo"])
+    doc = json.loads(json.dumps(ogc.api(base)))
+    assert doc["openapi"].startswith("3.0") and {p["name"] for p in doc["paths"]["/collections/{collectionId}/items"]["get"]["parameters"]} >= {"collectionId", "limit", "bbox", "datetime"}
+    found = ogc.collections_view(store, base)
+    assert [c["id"] for c in found["collections"]] == ["", "places"] and found["collections"][1]["links"][1]["href"] == f"{base}/collections/places/items"
+    for view, name in ((page, "LandingPage"), (ogc.conformance(), "ConformsTo"), (found, "Collections")):
+        root = ElementTree.fromstring(ogc.as_xml(view))
+        assert root.tag == f"{{{ogc.CORE}}}{name}" and root.iter(f"{{{ogc.ATOM}}}link")
+    assert len([e for e in ElementTree.fromstring(ogc.as_xml(found)).iter() if e.tag.endswith("Collection")]) == 2
+    first = ogc.items(store, "places", limit=1, base=base)
+    assert [x["rel"] for x in first["links"]] == ["self", "next"] and first["scrollId"].split("/")[1] in first["links"][1]["href"]
+    one = json.loads(ogc.item(store, "places", "south", base))
+    assert [x["rel"] for x in one["links"]] == ["self", "collection"] and one["id"] == "south"
+
+
+def test_extensions(spark, tmp_path):
+    """A splitter of lines, an indexer, an indexer of metadata, a term of the language and a merger of one's own."""
+    from tesserae import extensions
+    from tesserae.plans.nodes import ElemCompare, Value
+
+    def lines(pieces):
+        from types import SimpleNamespace
+
+        for x in b"".join(pieces).splitlines():
+            yield SimpleNamespace(data=x, value={"properties": {"raw": x.decode()}}, parent_name="lines")
+
+    (tmp_path / "a.txt").write_text("one two\nthree\nfour five six\n")
+    extensions.add_splitter("lines", lines, "text/json")
+    extensions.add_indexer(lambda value: {"words": len(value["properties"]["raw"].split())})
+    extensions.add_meta_indexer(lambda meta: {"from": meta["parent_name"]})
+    extensions.add_compiler(lambda q, dialect: ElemCompare("attrs", "words", "gt", 1) if q == Value("long") else None)
+    extensions.add_merger(lambda meta: meta["parent_name"] == "lines", lambda chunks, metas: (data + b"\n" for data, _ in chunks))
+    try:
+        s = Store(spark, str(tmp_path / "store"))
+        assert s.import_files(str(tmp_path / "a.txt"), splitter="lines") == 3
+        assert b"".join(s.search()) == b"one two\nthree\nfour five six\n"
+        assert b"".join(s.search("long")) == b"one two\nfour five six\n"
+        assert b"".join(s.search("EQ(words 1)")) == b"three\n" and s.paths("EQ(from lines)").count() == 3
+    finally:
+        extensions.clear()
+    assert s.paths("long").count() == 0

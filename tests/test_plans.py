@@ -198,6 +198,33 @@ def test_coordinate_systems():
     assert crs.to_wgs84("EPSG:1", [(0, 0)]) == [(1, 0)]
 
 
+@pytest.mark.parametrize(("code", "x", "y", "lon", "lat"), [
+    (2154, 652469, 6862035, 2.3522, 48.8566), (27700, 651409.903, 313177.270, 1.71605, 52.65798), (3035, 3962799.45, 2999718.85, 5, 50), (28992, 155000, 463000, 5.3872, 52.15517),
+    (2056, 2600000, 1200000, 7.43863, 46.95108), (21781, 600000, 200000, 7.43863, 46.95108), (31287, 400000, 400000, 13.33259, 47.49948), (27572, 600000, 2200000, 2.33653, 46.79995), (3006, 500000, 0, 15, 0), (23032, 500000, 4649776, 8.999, 41.9982),
+])
+def test_projected_systems(code, x, y, lon, lat):
+    a, b = crs.to_wgs84(f"EPSG:{code}", [(x, y)])[0]
+    assert abs(a - lon) < 2e-4 and abs(b - lat) < 2e-4
+
+
+def test_projections_on_their_own_ellipsoids():
+    """Points that the guidance on these methods gives, before any shift of the datum."""
+    own = {n: crs.SYSTEMS[n] for n in (27700, 28992, 5514)}
+    for n, x, y, lon, lat in ((27700, 651409.903, 313177.270, 1 + 43 / 60 + 4.5177 / 3600, 52 + 39 / 60 + 27.2531 / 3600), (28992, 196105.283, 557057.739, 6, 53), (5514, -568991.00, -1050538.63, 16 + 50 / 60 + 59.179 / 3600, 50 + 12 / 60 + 32.442 / 3600)):
+        method, ell, _, parameters = own[n]
+        a, b = crs.METHODS[method](x, y, crs.ELLIPSOIDS[ell], **parameters)
+        assert abs(a - lon) < 1e-6 and abs(b - lat) < 1e-6
+
+
+def test_systems_spelled_out():
+    wkt = 'PROJCS["x",GEOGCS["g",DATUM["d",SPHEROID["GRS 1980",6378137,298.257222101],TOWGS84[0,0,0]],UNIT["degree",0.0174532925]],PROJECTION["Lambert_Conformal_Conic_2SP"],PARAMETER["standard_parallel_1",49],PARAMETER["standard_parallel_2",44],PARAMETER["latitude_of_origin",46.5],PARAMETER["central_meridian",3],PARAMETER["false_easting",700000],PARAMETER["false_northing",6600000],UNIT["metre",1]]'
+    assert crs.to_wgs84(wkt, [(652469, 6862035)]) == crs.to_wgs84("EPSG:2154", [(652469, 6862035)])
+    feet = wkt.replace('UNIT["metre",1]', 'UNIT["foot",0.3048]').replace("700000", str(700000 / 0.3048)).replace("6600000", str(6600000 / 0.3048))
+    assert crs.to_wgs84(feet, [(652469 / 0.3048, 6862035 / 0.3048)])[0] == pytest.approx(crs.to_wgs84(wkt, [(652469, 6862035)])[0])
+    with pytest.raises(crs.UnknownCRS):
+        crs.to_wgs84(wkt.replace("Lambert_Conformal_Conic_2SP", "Polyconic"), [(0, 0)])
+
+
 def test_changes(spark):
     row = dict.fromkeys(DOCUMENT.names) | {"path": "p", "tags": ["a", "b"], "props": [tagged("k", 1), tagged("m", "x")], "attrs": []}
     df = spark.createDataFrame([row], DOCUMENT)
