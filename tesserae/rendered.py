@@ -378,3 +378,54 @@ _add("tag_lists", lambda s, d: mutate.add_tags(tables.part_documents(s, d), labe
 _add("property_lists", lambda s, d: mutate.set_properties(tables.part_documents(s, d), labels.parse_properties("kind:wet,'in size':12,kind:dry"), "LT(size 10)").select("path", F.expr("array_join(transform(props, e -> concat(e.key, '=', coalesce(e.s, cast(e.l as string)))), ';')").alias("props")), "select 'part/' || p_partkey as path, case when p_size < 10 then 'kind=dry;in size=12' else '' end as props from part")
 _add("all_values_as_text", lambda s, d: feature_store(s, d).documents().select(_fid(), F.col("text_norm")), "select 'F' || c_custkey as id, ' customer ' || lpad(c_custkey::varchar, 9, '0') || ' ' || lower(c_mktsegment) || ' ' || c_nationkey || ' ' || c_custkey || ' ' || (c_custkey > 700)::varchar || ' null ' as text_norm from customer")
 _add("points_of_positions", lambda s, d: s.createDataFrame([(k, *extract_json.bounding_box({"coordinates": [[[k, 1], [2, k]], [[-k, 0]]]})) for k in range(1, 6)], "k bigint, a double, b double, c double, e double"), "select k, -k::double as a, 0::double as b, greatest(k, 2)::double as c, greatest(k, 1)::double as e from range(1, 6) t(k)")
+
+# -- streams, the command line, times
+
+
+def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files dropped into a folder, half of them after a first run of the stream; a third run finds nothing new."""
+    from tesserae.streaming import file_drop
+
+    at, store = _folder(spark), Store(spark, _folder(spark))
+    whole = _features(spark, sf_dir).select(F.regexp_extract("path", "[0-9]+$", 0).cast("int").alias("nation"), F.regexp_replace(F.decode("content", "UTF-8"), "\n", " ").alias("value"))
+    for part in (0, 1, 1):
+        if part == 0 or store.manifest().version == 1:
+            whole.where(F.col("nation") % 2 == part).repartition("nation").write.mode("append").partitionBy("nation").text(f"{at}/drop")
+        file_drop.watch(store, f"{at}/drop/*", f"{at}/done").awaitTermination()
+    return store.documents().groupBy(_fid()).agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("dropped_files", _dropped, "select 'F' || c_custkey as id, 1::bigint as n from customer")
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints for a search."""
+    import contextlib
+    import io
+
+    from tesserae import cli
+
+    found = io.StringIO()
+    with contextlib.redirect_stdout(found):
+        cli.main(["--store", feature_store(spark, sf_dir).root, "search", "AND(GTE(code 10) LT(code 30))"])
+    return hashed(spark, [found.getvalue().encode()])
+
+
+_add("command_line_search", _commands, _whole(_all("c_custkey >= 10 and c_custkey < 30")))
+
+
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants and intervals that the features API takes, and others that it does not."""
+
+    def taken(text: str) -> bool:
+        try:
+            ogc.check_datetime(text)
+        except ValueError:
+            return False
+        return True
+
+    texts = ["2020-02-29T12:00:00Z", "2021-02-29", "../2020-01-01", "2020-01-01/..", "..", "soon", "2020-01-01/2020-02-01/2020-03-01", "2020-13-01/.."]
+    return spark.createDataFrame([(t, taken(t)) for t in texts], "text string, taken boolean")
+
+
+_add("times_of_the_features_api", _times, "select t as text, t not in ('2021-02-29', 'soon', '2020-01-01/2020-02-01/2020-03-01', '2020-13-01/..') as taken from (values ('2020-02-29T12:00:00Z'), ('2021-02-29'), ('../2020-01-01'), ('2020-01-01/..'), ('..'), ('soon'), ('2020-01-01/2020-02-01/2020-03-01'), ('2020-13-01/..')) x(t)")

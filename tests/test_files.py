@@ -8,6 +8,7 @@ from xml.sax.saxutils import quoteattr
 import pytest
 
 from tesserae import cli, ogc
+from tesserae.config import Settings
 from tesserae.operators import merge
 from tesserae.sources import extract_json, files, split_json, xml
 from tesserae.store import MissingChunk, NoMatch, Store
@@ -509,3 +510,20 @@ def test_extensions(spark, tmp_path):
     finally:
         extensions.clear()
     assert s.paths("long").count() == 0
+
+
+def test_settings_and_the_rest_of_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.json").write_text('[{"k":1},{"k":2}]')
+    (tmp_path / "conf.json").write_text(json.dumps({"store": str(tmp_path / "store"), "splitter": "json", "indexed_fields": ["k"], "cells": True, "dialect": "infix"}))
+    at = ["--config", str(tmp_path / "conf.json")]
+    for command in (["import", str(tmp_path / "a.json")], ["log"], ["index", "add", "n"], ["compact"], ["index", "rm", "n"], ["vacuum"], ["export", "--folder", str(tmp_path / "out")], ["delete", "--layer", "none"]):
+        assert cli.main([*at, *command]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "2" and lines[1].startswith("- 2 ") and lines[2] == "0"
+    assert [f["geometry"]["k"] for f in json.loads(together(tmp_path / "out"))["features"]] == [1, 2] if "Feature" in together(tmp_path / "out") else json.loads(together(tmp_path / "out"))["geometries"] == [{"k": 1}, {"k": 2}]
+    for wrong in ({"stor": "x"}, {"dialect": "none"}):
+        (tmp_path / "wrong.json").write_text(json.dumps(wrong))
+        with pytest.raises(ValueError, match="no such"):
+            Settings.read(str(tmp_path / "wrong.json"))
+    with pytest.raises(ValueError, match="store"):
+        Settings().open(spark)
