@@ -310,14 +310,20 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
     only the likeliest.
 
     A tile is a group, a size band with the one above, and a pair of its blocks of about TILE members: groups of any
-    size are many tiles, and no pairs are written but those that pass the bound. Sets often meet in several groups. Each
+    size are many tiles, and no pairs are written but those that pass the bound. Members with the commonest label of a
+    group, which are together already, meet the others and not each other: where those are few, the work grows with the
+    group's size and not with its square. Sets often meet in several groups. Each
     member carries the least ids of its groups, GROUPS_KNOWN at most; a pair is left to a lesser group that both carry.
     The least group that a pair meets in never leaves it, so no pair is lost, however many groups its sets have."""
     rows = open_members.withColumn("band", band(F.col("n"))).withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    counts = rows.groupBy("g", "tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1 and l0 <> l1")
-    counts = table(counts.select("g", "tile", "blocks"), "tiles")
-    rows = rows.join(counts, ["g", "tile"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    counts = rows.groupBy("g", "tile", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g", "tile").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c")).where("c > top.c")
+    blocks = lambda c: F.ceil(c / TILE).cast("int")
+    counts = table(counts.select("g", "tile", F.col("top.label").alias("top"), blocks(F.col("top.c")).alias("many"), blocks(F.col("c") - F.col("top.c")).alias("few")), "tiles")
+    rows = rows.join(counts, ["g", "tile"]).withColumn("major", F.col("label") == F.col("top"))
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("mine", F.when(F.col("major"), F.col("few") + block(F.col("many"))).otherwise(block(F.col("few"))))
+    others = F.when(F.col("major"), F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1))
+    rows = rows.withColumn("other", F.explode(others)).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     lists = open_members.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("g")), 1, GROUPS_KNOWN).alias("groups"))
     rows = rows.join(known.select("node", "bits"), "node").join(lists, "node")
     rows = rows.withColumn("before", F.filter("groups", lambda h: h < F.col("g")))
