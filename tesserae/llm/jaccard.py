@@ -16,7 +16,8 @@ from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, limited, mix
 WORDS = 5
 NUM, DEN = 75, 100  # the least likeness
 SKETCH_BITS, RANGES = 21, 32
-FLUSH = 1 << 20
+FLUSH = 1 << 18  # tokens that a task holds before it sends them; what goes with that is some ten times as large
+KNOWN = 1 << 20  # ids of sets that a task remembers, to send equal sets once
 TILE = 2048  # members of a candidate group in one tile
 TILE_TOKENS = 1 << 21  # and, where links are counted, their tokens (16 MB)
 COLUMNS = 1024  # tokens of a tile that are compared at once
@@ -91,7 +92,7 @@ def measure(docs: DataFrame) -> DataFrame:
                         held, size = [], 0
             m = len(ns)
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column("doc_id"), batch.column("same"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(seconds, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
-            if len(known) > FLUSH:
+            if len(known) > KNOWN:
                 known = set()
         if held:
             counts += np.bincount((np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
@@ -140,7 +141,7 @@ def groups(docs: DataFrame, common: np.ndarray, clashes: frozenset) -> DataFrame
     Postings go to token buckets as packed arrays, equal sets once from each task. g is a hash of the members:
     groups of the same members are one, with the number of their tokens as weight. Tokens of only one set vanish."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = 4 * partitions(spark)
     sent = spark.sparkContext.broadcast(common)
 
     def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def groups(docs: DataFrame, common: np.ndarray, clashes: frozenset) -> DataFrame
                 if size > FLUSH:
                     yield flush()
                     held, size = [], 0
-            if len(known) > FLUSH:
+            if len(known) > KNOWN:
                 known = set()
         if held:
             yield flush()
@@ -209,7 +210,7 @@ def groups(docs: DataFrame, common: np.ndarray, clashes: frozenset) -> DataFrame
                 yield pa.RecordBatch.from_arrays(cols, names=["g", "node", "n", "weight", "prev", "prev_n"])
 
     posted = docs.select("text").mapInArrow(post, "bucket int, blob binary")
-    met = to_buckets(posted, buckets).mapInArrow(meet, "g bigint, node bigint, n bigint, weight bigint, prev bigint, prev_n bigint")
+    met = to_buckets(posted, partitions(spark)).mapInArrow(meet, "g bigint, node bigint, n bigint, weight bigint, prev bigint, prev_n bigint")
     one = met.groupBy("g", "node").agg(F.first("n").alias("n"), F.sum("weight").alias("weight"), F.first("prev").alias("prev"), F.first("prev_n").alias("prev_n"))
     return table(one, "groups")
 
@@ -318,8 +319,9 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
     rows = open_members.withColumn("band", band(F.col("n"))).withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     counts = rows.groupBy("g", "tile", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g", "tile").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c")).where("c > top.c")
     blocks = lambda c: F.ceil(c / TILE).cast("int")
-    counts = table(counts.select("g", "tile", F.col("top.label").alias("top"), blocks(F.col("top.c")).alias("many"), blocks(F.col("c") - F.col("top.c")).alias("few")), "tiles")
-    rows = rows.join(counts, ["g", "tile"]).withColumn("major", F.col("label") == F.col("top"))
+    few, many = blocks(F.col("c") - F.col("top.c")), F.when(F.col("c") > TILE, blocks(F.col("top.c"))).otherwise(0)
+    counts = table(counts.select("g", "tile", F.col("top.label").alias("top"), few.alias("few"), many.alias("many")), "tiles")
+    rows = rows.join(counts, ["g", "tile"]).withColumn("major", (F.col("label") == F.col("top")) & (F.col("many") > 0))
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     rows = rows.withColumn("mine", F.when(F.col("major"), F.col("few") + block(F.col("many"))).otherwise(block(F.col("few"))))
     others = F.when(F.col("major"), F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1))
@@ -331,19 +333,20 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
     rows = rows.select(*key, "node", "n", "label", "band", "mine", "bits", "before").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(members: list[tuple], k: tuple) -> list[tuple[int, int]]:
-            words = min(len(m[5]) // 8 for m in members)
-            bits = np.stack([folded(np.frombuffer(m[5], np.uint64), words) for m in members])
-            n, label, up, mine = (np.array([m[c] for m in members], np.int64) for c in (1, 2, 3, 4))
-            node, up = [m[0] for m in members], up == k[1] + 1
+        def pairs(parts: list[tuple], k: tuple) -> Iterator[pa.RecordBatch]:
+            node, n, label, up, mine = (np.concatenate([p[0][c] for p in parts]) for c in range(5))
+            blobs, before = [x for p in parts for x in p[1]], [x for p in parts for x in p[2]]
+            words = min(x.size // 8 for x in blobs)
+            bits = np.stack([folded(np.frombuffer(x, np.uint64), words) for x in blobs])
+            up = up == k[1] + 1
             ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-            before = np.full((len(members), max(len(m[6]) for m in members)), k[0])  # no list has the group itself
-            for x, m in enumerate(members):
-                before[x, : len(m[6])] = m[6]
-            top, partner = np.zeros(len(members)), np.full(len(members), -1)
-            out = set()
-            for x in range(len(members) - 1):
-                y = np.arange(x + 1, len(members))
+            known = np.full((len(node), max(map(len, before))), k[0])  # no list has the group itself
+            for x, own in enumerate(before):
+                known[x, : len(own)] = own
+            top, partner = np.zeros(len(node)), np.full(len(node), -1)
+            held, size = [], 0
+            for x in range(len(node) - 1):
+                y = np.arange(x + 1, len(node))
                 ok = (label[y] != label[x]) & ~(up[y] & up[x]) & (np.minimum(n[y], n[x]) * DEN >= np.maximum(n[y], n[x]) * NUM)
                 if k[2] != k[3]:
                     ok &= mine[y] != mine[x]
@@ -354,32 +357,49 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
                 bound = np.minimum(n[x] - (ones[x] - both), n[y] - (ones[y] - both))
                 fit = linked(bound, n[x] + n[y])
                 y, score = y[fit], bound[fit] / (n[x] + n[y[fit]])
-                if len(y) and (own := members[x][6]):
-                    at = np.searchsorted(own, before[y])
+                if len(y) and len(own := before[x]):
+                    at = np.searchsorted(own, known[y])
                     at[at == len(own)] = 0
-                    here = ~(np.array(own)[at] == before[y]).any(axis=1)
+                    here = ~(own[at] == known[y]).any(axis=1)
                     y, score = y[here], score[here]
-                if best and len(y):
-                    more = y[score > top[y]]
-                    top[more], partner[more] = score[score > top[y]], x
+                if not len(y):
+                    continue
+                if best:
+                    more = score > top[y]
+                    top[y[more]], partner[y[more]] = score[more], x
                     if score.max() > top[x]:
                         top[x], partner[x] = score.max(), y[score.argmax()]
-                elif not best:
-                    out.update((min(node[x], node[z]), max(node[x], node[z])) for z in y)
+                    continue
+                held.append((np.full(len(y), node[x]), node[y]))
+                size += len(y)
+                if size > 1 << 16:
+                    yield ordered(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
             if best:
-                out.update((min(node[x], node[z]), max(node[x], node[z])) for x, z in enumerate(partner) if z >= 0)
-            return sorted(out)
+                held = [(node[partner >= 0], node[partner[partner >= 0]])]
+            if held:
+                yield ordered(*map(np.concatenate, zip(*held, strict=True)))
 
-        now, members = None, []
+        def ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        now, parts = None, []
         for batch in it:
-            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                if row[:4] != now:
-                    if len(members) > 1:
-                        yield _pairs_of(pairs(members, now))
-                    now, members = row[:4], []
-                members.append(row[4:])
-        if len(members) > 1:
-            yield _pairs_of(pairs(members, now))
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key], 1)
+            numbers = [batch.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "label", "band", "mine")]
+            blobs, lists = [x.as_buffer() for x in batch.column("bits")], batch.column("before")
+            ids, off = lists.values.to_numpy(), lists.offsets.to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905 - runs of rows of one tile
+                k = tuple(keys[a].tolist()) if b > a else now
+                if k != now:
+                    if sum(len(p[1]) for p in parts) > 1:
+                        yield from pairs(parts, now)
+                    now, parts = k, []
+                if b > a:
+                    parts.append(([c[a:b] for c in numbers], blobs[a:b], [ids[off[r] : off[r + 1]] for r in range(a, b)]))
+        if sum(len(p[1]) for p in parts) > 1:
+            yield from pairs(parts, now)
 
     return needing(rows.mapInArrow(run, "a bigint, b bigint").distinct(), counts)
 
