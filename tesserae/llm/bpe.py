@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tesserae.llm.shared import unused
+from tesserae.llm.shared import table, tidy, unused
 
 CACHE = 200_000  # words in each of the two generations that are kept
 #: Fixed value: the published pattern that cuts a text into words before merging.
@@ -152,14 +152,16 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
 
 
 def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The digest of op4: counts and checksums of the ids and of the text decoded from them. Odd rows as in `encode`."""
+    """The digest of op4: counts and checksums of the ids and of the text decoded from them. Odd rows as in `encode`.
+
+    It is made here and now, and written, so that texts come in batches of bounded size whoever reads the result."""
 
     def digest(t: Tokenizer, ids: list[int]) -> tuple:
         joined = ",".join(map(t.decimal.__getitem__, ids))
         back = t.text(ids)
         return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
-    return _run(docs, path, ["doc_id"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.string(), pa.string()])
+    return table(_run(docs, path, ["doc_id"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.string(), pa.string()]), "tokens")
 
 
 def _run(docs: DataFrame, path: str | None, keep: list[str] | None, ddl: str, make, kinds: list[pa.DataType]) -> DataFrame:  # noqa: ANN001
@@ -185,4 +187,4 @@ def _run(docs: DataFrame, path: str | None, keep: list[str] | None, ddl: str, ma
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *cols], names=[*kept, *new.names])
 
-    return docs.select(*(f"`{c}`" for c in kept), *([] if "text" in kept else ["text"])).mapInArrow(run, schema)
+    return docs.select(*(f"`{c}`" for c in kept), *([] if "text" in kept else ["text"])).mapInArrow(tidy(run), schema)

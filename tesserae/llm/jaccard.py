@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.graph import components
-from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, limited, mix, needing, pack, partitions, release, slices, table, text_bytes, to_buckets, unpack, unused, word_hashes
+from tesserae.llm.shared import U, blob_batch, by_bucket, gathered, limited, mix, needing, pack, partitions, release, slices, table, text_bytes, tidy, to_buckets, unpack, unused, word_hashes
 
 WORDS = 5
 NUM, DEN = 75, 100  # the least likeness
@@ -103,7 +103,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(5)), pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own], pa.binary())], schema=schema)
 
     ddl = "kind int, doc_id bigint, same bigint, n bigint, node bigint, second bigint, bucket int, blob binary"
-    return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), "text").mapInArrow(run, ddl), "measured")
+    return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), "text").mapInArrow(tidy(run), ddl), "measured")
 
 
 def commonness(measured: DataFrame) -> np.ndarray:
@@ -121,7 +121,7 @@ def commonness(measured: DataFrame) -> np.ndarray:
     spark = measured.sparkSession
     out = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.uint8)
     ranges = to_buckets(measured.where("kind = 1").select("bucket", "blob"), min(RANGES, partitions(spark)))
-    for r in ranges.mapInArrow(total, "bucket int, blob binary").toLocalIterator():
+    for r in ranges.mapInArrow(tidy(total), "bucket int, blob binary").toLocalIterator():
         out[r["bucket"]] = np.frombuffer(r["blob"], np.uint8)
     return out.reshape(-1)
 
@@ -209,8 +209,8 @@ def groups(docs: DataFrame, common: np.ndarray, clashes: frozenset) -> DataFrame
                 cols = [pa.array(g[r]), pa.array(node[r]), pa.array(n[r].astype(np.int64)), pa.array(w[r].astype(np.int64)), pa.array(prev[r], mask=none[r]), pa.array(prev_n[r].astype(np.int64), mask=none[r])]
                 yield pa.RecordBatch.from_arrays(cols, names=["g", "node", "n", "weight", "prev", "prev_n"])
 
-    posted = docs.select("text").mapInArrow(post, "bucket int, blob binary")
-    met = to_buckets(posted, partitions(spark)).mapInArrow(meet, "g bigint, node bigint, n bigint, weight bigint, prev bigint, prev_n bigint")
+    posted = docs.select("text").mapInArrow(tidy(post), "bucket int, blob binary")
+    met = to_buckets(posted, partitions(spark)).mapInArrow(tidy(meet), "g bigint, node bigint, n bigint, weight bigint, prev bigint, prev_n bigint")
     one = met.groupBy("g", "node").agg(F.first("n").alias("n"), F.sum("weight").alias("weight"), F.first("prev").alias("prev"), F.first("prev_n").alias("prev_n"))
     return table(one, "groups")
 
@@ -229,7 +229,7 @@ def sets(docs: DataFrame, small: DataFrame, nodes: DataFrame, tokens: bool, clas
                 part = found[a : a + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", what])
 
-    made = rows.mapInArrow(run, f"node bigint, n bigint, {what} binary")
+    made = rows.mapInArrow(tidy(run), f"node bigint, n bigint, {what} binary")
     return table(needing(made.join(limited(nodes), "node", "left_semi").dropDuplicates(["node"]), ids, nodes), what)
 
 
@@ -273,7 +273,7 @@ def _filtered(pairs: DataFrame, known: DataFrame, what: str, test: Callable) ->
 
     left = known.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col(what).alias("x"))
     right = known.select(F.col("node").alias("b"), "n", F.col(what).alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "m", "x", "b", "n", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "m", "x", "b", "n", "y").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -401,7 +401,7 @@ def tile_pairs(open_members: DataFrame, known: DataFrame, best: bool) -> DataFra
         if sum(len(p[1]) for p in parts) > 1:
             yield from pairs(parts, now)
 
-    return needing(rows.mapInArrow(run, "a bigint, b bigint").distinct(), counts)
+    return needing(rows.mapInArrow(tidy(run), "a bigint, b bigint").distinct(), counts)
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
@@ -494,7 +494,7 @@ def counted_links(docs: DataFrame, small: DataFrame, labels: DataFrame, clashes:
         if len(members) > 1:
             yield links(members, now)
 
-    return table(needing(rows.mapInArrow(run, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")), tokens, ids, tiles), "counted")
+    return table(needing(rows.mapInArrow(tidy(run), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")), tokens, ids, tiles), "counted")
 
 
 def component_ids(small: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -77,6 +79,21 @@ def limited(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def tidy(run: Callable) -> Callable:
+    """The same function over batches; what it has freed by its end goes back to the system, since the worker that it runs in
+    is kept for later tasks."""
+
+    def tidied(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        del it
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return tidied
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, or a longer one that no column of df has, in any case of letters."""
     taken = {c.lower() for c in df.columns}
