@@ -949,3 +949,29 @@ def test_repeats_of_a_row_stand_side_by_side_and_are_encoded_alike(spark):
     for part in parts:
         changes = 1 + sum(a != b for a, b in zip(part, part[1:])) if part else 0  # noqa: B905
         assert changes == len(set(part))
+
+
+def test_matroska_stored_form_and_features(odd):
+    """The stored form of each text, and what its feature says, worked out from the payload alone."""
+    texts = {}
+    for r in plain(odd):
+        texts.setdefault(r.doc_id, set()).add(r.text or "")
+    for g in matroska.media_table(odd).collect():
+        hits = 0
+        for t in texts[g.doc_id]:
+            raw = t.encode()
+            p = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+            stored = matroska.write(p)
+            frames = [p[i : i + matroska.FRAME] for i in range(0, len(p), matroska.FRAME)]
+            groups = -(-len(frames) // (matroska.LACED * matroska.BLOCKS))
+            laces = Counter()
+            for c in range(groups):
+                own = frames[c * 56 : c * 56 + 56]
+                for b in range(0, len(own), 8):
+                    block = own[b : b + 8]
+                    kind = "none" if len(block) == 1 else "fixed" if len(set(map(len, block))) == 1 else "xiph" if len(block) == 2 else "ebml"
+                    laces[kind] += len(block)
+            want = [f"tracks=1;packets={len(frames)};clusters={groups};cues={groups};ms={len(p) / 8:.3f}", f"mean={sum(p) / len(p):.6f}"]
+            told = dict(x.split(":") for x in g.feature.split("lacing=")[1].split(";")[0].split("/"))
+            hits += (g.media_bytes, g.media_sha256) == (len(stored), sha(stored)) and g.feature.startswith(want[0]) and g.feature.endswith(want[1]) and told == {k: str(n) for k, n in laces.items()}
+        assert hits == 1
