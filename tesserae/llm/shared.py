@@ -53,7 +53,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    with batches_of(spark, "8m"):
+    with batches_of(spark, "2m"):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written, out._needs = path, []
