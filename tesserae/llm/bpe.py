@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from tesserae.llm.shared import table, tidy, unused
 
-CACHE = 120_000  # words in each of the two generations that are kept (30 MB)
+CACHE = 200_000  # words in each of the two generations that are kept (50 MB)
 #: Fixed value: the published pattern that cuts a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
